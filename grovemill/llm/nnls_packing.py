@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovemill.llm.common import materialize, slices
-from grovemill.llm.tokens import WordEncoder, default_vocabulary
+from grovemill.llm.tokens import default_vocabulary, shared_encoder
 
 WINDOW, UNIT, END_ID = 2048, 8, 1
 #: Ranked rows that meet in one task, about.
@@ -164,9 +164,9 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, window: int = WI
     vocabulary, half = vocabulary or default_vocabulary(), window // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 16 << 20):
                 ids, ends = encoder.encode(part.column(1))
                 rows: list[tuple] = []
                 before = 0

@@ -2,14 +2,20 @@
 
 The tokenizer of `word_bpe_49k.json` drops white space before it looks for pairs, so the ids of a text are the ids of its
 white-space separated words, one after another. `WordEncoder` therefore encodes each distinct word of a batch once, and
-gathers the ids of whole texts with numpy. `tests/llm/test_tokens.py` holds it against direct calls.
+gathers the ids of whole texts with numpy. Words of printable characters below U+0180 are lower-cased and cut by the
+tokenizer's own pattern, and its merge model sees each distinct piece once; all other words go through the whole tokenizer.
+`tests/llm/test_tokens.py` holds both ways against direct calls.
 """
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 
 def default_vocabulary() -> str:
@@ -18,6 +24,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """encode(texts) -> (ids, ends): all ids in a row, and where each text ends in them.
 
@@ -25,18 +38,26 @@ class WordEncoder:
     keep: the memo is emptied beyond so many words, which bounds memory.
     """
 
-    MARK = "<|startoftext|>"
+    #: Of these words, normalization is lower-casing alone; composition and white space don't matter.
+    SIMPLE = regex.compile(r"[!-~¡-ſ]+")
 
-    def __init__(self, path: str | None = None, plain_specials: bool = False, keep: int = 400_000) -> None:
+    def __init__(self, path: str | None = None, plain_specials: bool = False, keep: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
-        self.path = path or default_vocabulary()
-        self.many, self.one, self.keep = Tokenizer.from_file(self.path), Tokenizer.from_file(self.path), keep
+        path = path or default_vocabulary()
+        self.one, self.keep = Tokenizer.from_file(path), keep
         self.one.encode_special_tokens = plain_specials
-        self.specials = [t.content for t in self.many.get_added_tokens_decoder().values()]
-        self.mark = self.many.token_to_id(self.MARK)
-        if self.mark is None or self.direct("Ab, c\t 'Re1") != self.direct("Ab,") + self.direct("c") + self.direct("'Re1"):
+        self.model = self.one.model
+        self.specials = [t.content for t in self.one.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        kinds = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        split = [x for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        if kinds != ["NFC", "Replace", "Lowercase"] or len(split) != 1 or split[0]["behavior"] != "Removed" or not split[0]["invert"]:
             raise ValueError("this vocabulary does not treat white space as a separator that it drops")
+        self.pattern = regex.compile(split[0]["pattern"]["Regex"])
+        self.letters = byte_letters()
+        self.dtype = np.uint16 if self.one.get_vocab_size() <= 65_536 else np.int32
         self.clear()
 
     def direct(self, text: str) -> list[int]:
@@ -44,29 +65,32 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pieces: dict[str, list[int]] = {}
+        self.ids = np.zeros(0, self.dtype)
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _piece(self, piece: str) -> list[int]:
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        found = self.pieces[piece] = [t.id for t in self.model.tokenize(text)]
+        return found
 
     def _learn(self, words: list[str]) -> None:
-        found, lengths = [], []
-        plain = [w for w in words if not any(s in w for s in self.specials)]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.many.encode(self.MARK.join(part), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer merged words")
-            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            found.append(ids[ids != self.mark])
-        for word in (odd := [w for w in words if any(s in w for s in self.specials)]):
-            found.append(np.array(self.direct(word), np.int32))
-            lengths.append(np.array([len(found[-1])]))
-        new = np.concatenate(lengths).astype(np.int64)
-        for k, word in enumerate([*plain, *odd], len(self.code)):
+        flat: list[int] = []
+        lengths, get, cut, simple = [], self.pieces.get, self.pattern.findall, self.SIMPLE.fullmatch
+        for word in words:
+            before = len(flat)
+            if simple(word) and not ("<" in word and any(s in word for s in self.specials)):
+                for piece in cut(word.lower()):
+                    flat += get(piece) or self._piece(piece)
+            else:
+                flat += self.direct(word)
+            lengths.append(len(flat) - before)
+        for k, word in enumerate(words, len(self.code)):
             self.code[word] = k
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(new) - new])
+        new = np.array(lengths, np.int32)
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(new) - new).astype(np.int32)])
         self.lengths = np.concatenate([self.lengths, new])
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, np.array(flat, self.dtype)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -75,11 +99,18 @@ class WordEncoder:
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
         if len(self.code) > self.keep:
             self.clear()
-        if missing := [w for w in distinct if w not in self.code]:
+        get = self.code.get
+        if missing := [w for w in distinct if get(w) is None]:
             self._learn(missing)
-        codes = np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))[which]
-        size = self.lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.starts[codes] - ends[:-1], size)
-        at += np.arange(len(at))
+        codes = np.fromiter(map(self.code.__getitem__, distinct), np.int32, len(distinct))
+        size = self.lengths[codes][which]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.repeat((self.starts[codes][which] - ends[:-1]).astype(np.int32 if ends[-1] < 2**30 else np.int64), size)
+        at += np.arange(len(at), dtype=at.dtype)
         return self.ids[at], ends[bounds[1:] - bounds[0]]
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, plain_specials: bool = False) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: the memo outlives a task."""
+    return WordEncoder(path, plain_specials)

@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -26,3 +27,10 @@ def test_sliced_arrays():
     whole = pa.array(TEXTS)
     ids, ends = e.encode(whole.slice(2, 3))
     assert ends[0] == len(e.direct(TEXTS[2])) and ends[-1] == sum(len(e.direct(x)) for x in TEXTS[2:5]) == len(ids)
+
+
+def test_every_simple_character():
+    e = WordEncoder()
+    words = [f"a{chr(c)}B{chr(c)}" for c in [*range(33, 127), *range(0xA1, 0x180)]]
+    ids, ends = e.encode(pa.array(words))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.direct(w) for w in words]
