@@ -51,14 +51,15 @@ def fingerprint_array(texts: list[str], words: int = WORDS, seed: int = SEED) ->
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long), one row per document row."""
+    """doc_id, body (a hash of the text) and fp (the fingerprint's bits as a signed long), one row per document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_array(texts_of(part), words, seed).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprint_array(texts_of(part), words, seed).view(np.int64))], ["doc_id", "body", "fp"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text")).mapInArrow(run, "doc_id bigint, body bigint, fp bigint")
 
 
 def blocks_for(count: int, radius: int = RADIUS, group: int = GROUP) -> int:
@@ -209,6 +210,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """fp, root and component_id of every distinct fingerprint of docs (doc_id, fp)."""
+    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp"), distinct.count(), radius, tile))
+    linked = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for every document row.
 
@@ -216,9 +225,15 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     doc_id keeps its row and never names a component; a component of nothing else has a null component_id. An empty table
     gives no rows; columns other than doc_id and text are not read.
     """
+    docs = materialize(fingerprints(documents, words, seed).drop("body"))
+    return docs.join(groups(docs, radius, tile).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The row with the smallest doc_id (null last) of every component, whole; of its repetitions the least by value."""
     docs = materialize(fingerprints(documents, words, seed))
-    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), distinct.count(), radius, tile))
-    linked = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "body"))
+    kept = docs.join(groups(docs, radius).select("fp", "root"), "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.body").alias("body_"))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("own_id_"), F.xxhash64(F.col("text").cast("string")).alias("own_body_"), F.struct(*documents.columns).alias("row_"))
+    found = rows.join(kept, F.col("own_id_").eqNullSafe(F.col("id_")) & (F.col("own_body_") == F.col("body_")))
+    return found.groupBy("own_id_", "own_body_").agg(F.min("row_").alias("row_")).select("row_.*")
