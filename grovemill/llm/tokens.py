@@ -41,7 +41,7 @@ class WordEncoder:
     #: Of these words, normalization is lower-casing alone; composition and white space don't matter.
     SIMPLE = regex.compile(r"[!-~¡-ſ]+")
 
-    def __init__(self, path: str | None = None, plain_specials: bool = False, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str | None = None, plain_specials: bool = False, keep: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         path = path or default_vocabulary()
