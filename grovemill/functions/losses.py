@@ -61,6 +61,9 @@ class Loss:
         """The deviance is the mean of these."""
         raise NotImplementedError
 
+    def means(self, f: np.ndarray) -> np.ndarray:
+        return f
+
     #: Sums that make a leaf's estimate: rows of (numerator, denominator), or None if it takes a median.
     def parts(self, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         raise NotImplementedError
@@ -140,6 +143,9 @@ class Poisson(Loss):
     def deviances(self, y, f):
         return -2 * (y * f - np.exp(np.clip(f, -19, 19)))
 
+    def means(self, f):
+        return np.exp(np.clip(f, -19, 19))
+
     def parts(self, y, f):
         return y, np.exp(np.clip(f, -19, 19))
 
@@ -179,6 +185,9 @@ class LogLoss(Binary):
     def mean_sql(self, f="f"):
         return self.p(f)
 
+    def means(self, f):
+        return self.probability(f)
+
     def gradients(self, y, f):
         return y - self.probability(f)
 
@@ -206,6 +215,9 @@ class Exponential(Binary):
     def mean_sql(self, f="f"):
         return sigmoid(f"2 * {f}", repr(LOW), f"(1e0 - {LOW!r})")
 
+    def means(self, f):
+        return np.clip(1 / (1 + np.exp(-2 * f)), LOW, HIGH)
+
     def gradients(self, y, f):
         return (2 * y - 1) * self.deviances(y, f)
 
@@ -237,6 +249,9 @@ class TruncatedHinge(Binary):
     def mean_sql(self, f="f"):
         return sigmoid(f, f"{1 - self.most!r}e0", f"{self.most!r}e0")
 
+    def means(self, f):
+        return np.clip(1 / (1 + np.exp(-f)), 1 - self.most, self.most)
+
     def gradients(self, y, f):
         a, b = self.margin - f, self.margin + f
         return y * ((a > 0) & (a <= self.cap)) - (1 - y) * ((b > 0) & (b <= self.cap))

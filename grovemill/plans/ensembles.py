@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from grovemill.errors import InvalidLabel
 from grovemill.functions.encoders import Encoder, dictionary, distinct_values, encoders
 from grovemill.functions.losses import Loss, loss_named
-from grovemill.functions.scalars import category, number
+from grovemill.functions.scalars import number
 from grovemill.operators.binning import WIDEST, BinningOptions, finder
 from grovemill.operators.discretize import bin_column
 from grovemill.operators.sampling import bag_count, is_training
@@ -187,8 +187,3 @@ def forest(df: DataFrame, label: str, features: list[str], categorical: set[str]
         return RandomForest(p.features, p.encoders, trees, o.classes)
     finally:
         stash.drop()
-
-
-def encoded_label(df: DataFrame, label: str) -> DataFrame:
-    """Values of a categorical label and their numbers."""
-    return df.select(category(label).alias("value")).distinct()

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovemill.functions.encoders import Encoder
@@ -168,7 +168,11 @@ class RandomForest(Ensemble):
             mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / len(self.trees)
             m = mean(F.col("values_"))
             return own.select(*df.columns, m.alias("mean"), (mean(F.transform("values_", lambda v: v * v)) - m * m).alias("variance"))
-        share = [F.struct((-F.size(F.filter("values_", lambda v, k=k: v == k)) / len(self.trees)).alias("order"), F.lit(k).alias("class")) for k in range(self.classes)]
+
+        def share_of(k: int) -> Column:
+            return F.struct((-F.size(F.filter("values_", lambda v: v == k)) / len(self.trees)).alias("order"), F.lit(k).alias("class"))
+
+        share = [share_of(k) for k in range(self.classes)]
         votes = F.transform(F.filter(F.array_sort(F.array(*share)), lambda s: s["order"] < 0), lambda s: F.struct(s["class"].alias("class"), (-s["order"]).alias("share")))
         return own.withColumn("votes", votes).select(*df.columns, "votes", F.col("votes")[0]["class"].alias("prediction"))
 
@@ -177,19 +181,12 @@ def register(spark: SparkSession, name: str, model: BoostedTrees) -> None:
     """The model for SQL text: `name(feature, ...)` takes the encoded features as doubles and gives the prediction."""
     features, flats = model.features, [Flat(t, model.features) for t in model.trees]
     start, step, loss = model.initial, model.shrinkage, model.loss
-    means = {"gaussian": lambda f: f, "laplacian": lambda f: f, "poisson": lambda f: np.exp(np.clip(f, -19, 19)), "logloss": lambda f: 1 / (1 + np.exp(-f)), "adaboost": lambda f: 1 / (1 + np.exp(-2 * f)), "hinge": lambda f: np.clip(1 / (1 + np.exp(-f)), 0.1, 0.9)}
-    mean = means.get(loss.name, lambda f: f)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for part in parts:
             bins = codes(features, [p.to_numpy(np.float64) for p in part])
             total = start + step * sum((f.value[f.walk(bins)] for f in flats), np.zeros(bins.shape[1]))
-            yield pd.Series(mean(total))
+            yield pd.Series(loss.means(total))
 
     spark.udf.register(name, score)
-
-
-def ranked(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
-    """The k rows with the largest value of each group."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc()))).where(F.col("rank") <= k)
