@@ -484,7 +484,8 @@ def forest_fit(spark, sf):
 
 def sql_uniform(key: str, seed: int, stream: int) -> str:
     start, prime = (seed * 69069 + stream * 362437 + 12345) % 2147483647, 2147483647
-    return f"(((({key} % {prime} * 48271 + {start}) % {prime}) * 40692 + {(start * 31 + 7) % prime}) % {prime} * 16807 % {prime} / {prime}.0::DOUBLE)"
+    one = f"(({key} % {prime} * 48271 + {start}) % {prime})"
+    return f"({one} * ({one} + {(start * 31 + 7) % prime}) % {prime} * 16807 % {prime} / {prime}.0::DOUBLE)"
 
 
 @query(f"SELECT {KEY} AS key, ({sql_uniform(KEY, 1, 1)} <= 0.7)::INT AS bag FROM lineitem")
@@ -492,7 +493,7 @@ def bag_bernoulli(spark, sf):
     return items(spark, sf).select(F.expr(KEY).alias("key"), bag_count(KEY, 0, 0.7).alias("bag"))
 
 
-@query(f"WITH u AS (SELECT {KEY} AS key, {sql_uniform(KEY, 1, 2)} AS u FROM lineitem), cdf AS (SELECT k, sum(exp(-0.7) * pow(0.7, k) / factorial(k::INT)) OVER (ORDER BY k) AS c FROM range(20) t(k)), used AS (SELECT c, lag(c, 1, 0) OVER (ORDER BY k) AS before FROM cdf) SELECT key, (SELECT count(*) FROM used WHERE c < u AND before < 1 - 1e-5)::INT AS bag FROM u")
+@query(f"WITH u AS (SELECT {KEY} AS key, {sql_uniform(KEY, 1, 2)} AS u FROM lineitem), cdf AS (SELECT k, sum(exp(-0.7) * pow(0.7, k) / factorial(k::INT)) OVER (ORDER BY k) AS c FROM range(20) t(k)) SELECT key, (SELECT count(*) FROM cdf WHERE c < u AND c < 1 - 1e-5)::INT AS bag FROM u")
 def bag_poisson(spark, sf):
     return items(spark, sf).select(F.expr(KEY).alias("key"), bag_count(KEY, 1, 0.7, True).alias("bag"))
 

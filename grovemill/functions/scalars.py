@@ -34,11 +34,12 @@ def string_hash_bucket(value: str, buckets: int) -> str:
 
 
 def key_uniform(key: str, seed: int, stream: int = 0) -> str:
-    """Between 0 and 1 from an integer key, by two rounds of multiplication modulo a prime; the same in both engines."""
+    """Between 0 and 1 from an integer key, modulo a prime; the same in both engines. The square keeps streams from being
+    shifted copies of one another."""
     prime = 2147483647
     start = (seed * 69069 + stream * 362437 + 12345) % prime
     one = f"((((({key}) % {prime}) + {prime}) % {prime}) * 48271 + {start}) % {prime}"
-    two = f"(({one}) * 40692 + {(start * 31 + 7) % prime}) % {prime}"
+    two = f"(({one}) * (({one}) + {(start * 31 + 7) % prime})) % {prime}"
     return f"(cast(({two}) * 16807 % {prime} as double) / {float(prime)!r})"
 
 

@@ -76,10 +76,14 @@ def uniform_of(key: np.ndarray, seed: int, stream: int) -> np.ndarray:
     prime = 2147483647
     start = (seed * 69069 + stream * 362437 + 12345) % prime
     one = (key % prime * 48271 + start) % prime
-    two = (one * 40692 + (start * 31 + 7) % prime) % prime
+    two = one * (one + (start * 31 + 7) % prime) % prime
     return (two * 16807 % prime) / float(prime)
 
 
+def hashed_order(bins: np.ndarray, seed: int, tree: int, node: int) -> np.ndarray:
+    return uniform_of((tree * 1_048_573 + node) * 65_536 + bins.astype(np.int64), seed, 1)
+
+
 def best_local(tables: dict[int, np.ndarray], features: list[Feature], classes: int, categories: str, seed: int = 1, tree: int = 0, node: int = 1) -> Found:
     """tables: of each feature an array (bins, stats)."""
     totals = next(iter(tables.values())).sum(axis=0)
@@ -98,15 +102,14 @@ def best_local(tables: dict[int, np.ndarray], features: list[Feature], classes:
                 out.members = [(int(b), table[b], i) for i, b in enumerate(bins)]
             continue
         if f.categorical:
-            key = mean_of(table[bins], classes) if order_kind(categories, classes) == ORDERED else uniform_of(node * 65_536 + bins.astype(np.int64), seed, tree + 1)
+            key = mean_of(table[bins], classes) if order_kind(categories, classes) == ORDERED else hashed_order(bins, seed, tree, node)
             bins = bins[np.lexsort((bins, key))]
         left = np.cumsum(table[bins], axis=0)
         right = table.sum(axis=0) - lost - left
         if not len(bins):
             continue
         wl, wr, wn = weight_of(left, classes), weight_of(right, classes), float(weight_of(lost, classes))
-        if not f.categorical or len(bins):
-            wr[-1], right[-1] = 0.0, 0.0
+        wr[-1], right[-1] = 0.0, 0.0
         value = (wl * impurity_of(left, classes) + wr * impurity_of(right, classes) + wn * impurity_of(lost, classes)) / total
         fine = (wl > 0).astype(int) + (wr > 0) + (wn > 0) >= 2
         if not f.categorical:
@@ -162,7 +165,7 @@ def candidates(hist: DataFrame, features: list[Feature], classes: int, categorie
     if order_kind(categories, classes) == ORDERED:
         key = mean_col(s, classes)
     else:
-        key = F.expr("case " + " ".join(f"when tree = {t} then {key_uniform('cast(node as bigint) * 65536 + bin', seed, t + 1)}" for t in range(64)) + f" else {key_uniform('cast(node as bigint) * 65536 + bin', seed, 65)} end")
+        key = F.expr(key_uniform("(cast(tree as bigint) * 1048573 + node) * 65536 + bin", seed, 1))
     h = h.withColumn("place", F.when(F.col("kind") == 1, key).otherwise(F.col("bin").cast("double"))).withColumn("gone", F.col("bin") == F.col("lost"))
     by = ["tree", "node", "feature"]
     whole, running = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("gone", "place", "bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -228,7 +231,7 @@ def search(hist: DataFrame, features: list[Feature], classes: int, categories: s
                     out[t, n].members = [(b, s, i) for i, (b, s) in enumerate(members)]
                     continue
                 bins, stats = np.array([b for b, _ in members], np.int64), np.stack([s for _, s in members])
-                key = mean_of(stats, classes) if order_kind(categories, classes) == ORDERED else uniform_of(n * 65_536 + bins, seed, min(t, 64) + 1)
+                key = mean_of(stats, classes) if order_kind(categories, classes) == ORDERED else hashed_order(bins, seed, t, n)
                 order = np.lexsort((bins, key))
                 out[t, n].members = [(int(bins[i]), stats[i], int(place >= cuts[t, n])) for place, i in enumerate(order)]
         return out

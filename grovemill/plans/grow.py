@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemill.operators.histogram import Counter, arrow_histogram, sql_histogram, width
-from grovemill.operators.split import ORDERED, RANDOM, Found, best_local, impurity_of, prediction_of, search, uniform_of, weight_of
+from grovemill.operators.split import ORDERED, RANDOM, Found, best_local, impurity_of, prediction_of, search, weight_of
 from grovemill.plans.trees import MULTIWAY, NUMERIC, SUBSET, Feature, Flat, Node, Split, Tree
 
 ENGINES = {"arrow": arrow_histogram, "sql": sql_histogram}
@@ -47,8 +47,7 @@ class GrowOptions:
         """The features that a node may be split by, in order."""
         if self.mtry is None or self.mtry >= features:
             return list(range(features))
-        by = uniform_of(node * 65_536 + np.arange(features, dtype=np.int64), self.seed + 7919, tree + 1)
-        return sorted(np.argsort(by, kind="stable")[: self.mtry].tolist())
+        return sorted(np.random.default_rng([self.seed, tree, node]).choice(features, self.mtry, replace=False).tolist())
 
 
 def node_of(i: int, depth: int, stats: np.ndarray, classes: int) -> Node:
