@@ -132,4 +132,5 @@ def arrow_histogram(frame: DataFrame, trees: list[Tree], features: list[Feature]
             yield rows(whole)
 
     picked = frame.select(F.col("y").cast("double"), *[F.col(f"w_{t}").cast("double") for t in use], *[F.col(f"b_{j}").cast("int") for j in range(len(features))])
-    return picked.mapInArrow(run, schema(classes)).groupBy("tree", "node", "feature", "bin").agg(*[F.sum(s).alias(s) for s in stats_names(classes)])
+    # Dealt by feature, the sums' order serves the windows of the split search as well.
+    return picked.mapInArrow(run, schema(classes)).repartition("tree", "node", "feature").groupBy("tree", "node", "feature", "bin").agg(*[F.sum(s).alias(s) for s in stats_names(classes)])

@@ -148,10 +148,17 @@ def mean_col(s: list[Column], classes: int) -> Column:
     return sum((k * c for k, c in enumerate(s[1:], 1)), F.lit(0.0)) / w if classes else s[1] / w
 
 
-def feature_table(hist: DataFrame, features: list[Feature], categories: str) -> DataFrame:
-    """Of each feature: kind (0 numeric, 1 cut in order, 2 multiway), regular bins and the missing bin. One row a feature."""
+#: Descriptions of up to so many features are literals; of more, a broadcast table with a row a feature.
+LITERALS = 500
+
+
+def with_features(hist: DataFrame, features: list[Feature], categories: str) -> DataFrame:
+    """Of each row's feature: kind (0 numeric, 1 cut in order, 2 multiway), regular bins and the missing bin."""
     rows = [(j, 0, f.bins.regular, -1 if f.bins.missing is None else f.bins.missing) if not f.categorical else (j, 2 if categories == MULTIWAY else 1, f.bins.cardinality, -1) for j, f in enumerate(features)]
-    return hist.sparkSession.createDataFrame(rows, "feature int, kind int, regular int, lost int")
+    if len(rows) <= LITERALS:
+        at = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in rows]), F.col("feature") + 1)
+        return hist.withColumns({"kind": at(1), "regular": at(2), "lost": at(3)})
+    return hist.join(F.broadcast(hist.sparkSession.createDataFrame(rows, "feature int, kind int, regular int, lost int")), "feature")
 
 
 def candidates(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1) -> DataFrame:
@@ -161,7 +168,7 @@ def candidates(hist: DataFrame, features: list[Feature], classes: int, categorie
     """
     names = stats_names(classes)
     s = [F.col(c) for c in names]
-    h = hist.join(F.broadcast(feature_table(hist, features, categories)), "feature")
+    h = with_features(hist, features, categories)
     if order_kind(categories, classes) == ORDERED:
         key = mean_col(s, classes)
     else:
@@ -202,7 +209,9 @@ def best_splits(hist: DataFrame, features: list[Feature], classes: int, categori
 def search(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1) -> dict[tuple[int, int], Found]:
     """Found of every (tree, node) of the histogram. What comes to the driver: a row a node, and the bins of a node's best
     categorical feature."""
-    hist = hist.persist()
+    # The bins of categories are asked for once the best splits are known.
+    again = any(f.categorical for f in features)
+    hist = hist.persist() if again else hist
     try:
         best = best_splits(hist, features, classes, categories, seed)
         out: dict[tuple[int, int], Found] = {}
@@ -236,4 +245,5 @@ def search(hist: DataFrame, features: list[Feature], classes: int, categories: s
                 out[t, n].members = [(int(bins[i]), stats[i], int(place >= cuts[t, n])) for place, i in enumerate(order)]
         return out
     finally:
-        hist.unpersist()
+        if again:
+            hist.unpersist()

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovemill.operators.binning import EqualWidth, Segmenting
+from grovemill.operators import split
 from grovemill.operators.discretize import discretize
+from grovemill.operators.histogram import arrow_histogram, sql_histogram
 from grovemill.plans.grow import GrowOptions, grow, grow_local
 from grovemill.plans.trees import Feature, Flat, Tree, codes
 from tests.fixtures import DATA2, DATA6, frame
@@ -109,3 +111,15 @@ def test_feature_subsets_and_several_trees(spark):
     bins, y, _ = arrays(df, features)
     w = np.where(np.arange(30) % 2 == 0, 2.0, 0.0)
     assert grow(df, features, GrowOptions(classes=4), trees=2)[1].shape() == grow_local(bins, y, w, features, GrowOptions(classes=4), 1).shape()
+
+
+def test_histograms_beyond_dense_arrays_and_with_many_features(spark, monkeypatch):
+    df, features = binned(spark, DATA2)
+    tree = grow(df, features, GrowOptions(max_depth=2))[0]
+    batch = [(0, 2), (0, 3)]
+    whole, blocks, plain = arrow_histogram(df, [tree], features, batch), arrow_histogram(df, [tree], features, batch, dense=1), sql_histogram(df, [tree], features, batch)
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, whole.collect())) == want == sorted(map(tuple, blocks.collect())) and len({r[1] for r in want}) == 2
+    shape = grow(df, features, GrowOptions(max_depth=3))[0].shape()
+    monkeypatch.setattr(split, "LITERALS", 0)
+    assert grow(df, features, GrowOptions(max_depth=3))[0].shape() == shape
