@@ -1,21 +1,28 @@
-"""Helpers that the corpus operators share: tables, the shared scratch folder, bounded Arrow slices."""
+"""Helpers that the corpus operators share: tables, the shared scratch folder, hot keys, prefix sums, bounded Arrow slices."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same six characters.
 SPACES = " \t\n\x0b\x0c\r"
+#: Of n rows, a key with more than n / HOT of them, and more than HOT_ROWS, is hot: so there are HOT such keys at most.
+HOT, HOT_ROWS = 10_000, 512
+
+#: Folders written within the open scopes of `swept`.
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the one that driver and executors share (spark.checkpoint.dir); a temporary one if none is set."""
+    """A fresh folder below the one that driver and executors share (spark.checkpoint.dir). If none is set, a local master
+    gets a temporary one; a cluster has no such folder, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="grovemill-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/grovemill-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/grovemill-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame], tuple[DataFrame, str]]]:
+    """A scope whose scratch folders are deleted at its end, but for what is written by the function that it gives.
+
+    That function materializes a DataFrame beyond the scope, and returns it with its folder.
+    """
+    _scopes.append([])
+
+    def keep(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch(spark)
+        _scopes[-1].remove(path)
+        return materialize(df, path), path
+
+    try:
+        yield keep
+    finally:
+        discard(spark, *_scopes.pop())
 
 
 def materialize(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
@@ -39,6 +77,79 @@ def materialize(df: DataFrame, path: str | None = None, codec: str = "zstd") ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a name of ours."""
+    return F.struct(*[column(c) for c in df.columns])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's values, nulls and maps included."""
+
+    def maps(t: DataType) -> bool:
+        return isinstance(t, MapType) or (isinstance(t, ArrayType) and maps(t.elementType)) or (isinstance(t, StructType) and any(maps(f.dataType) for f in t))
+
+    own = [F.to_json(F.struct(column(f.name))) if maps(f.dataType) else column(f.name) for f in df.schema]
+    return F.xxhash64(*[x for c in own for x in (c.isNull(), c)])
+
+
+def hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame | None:
+    """sizes: keys and n, the rows of each. The hot keys and into how many parts each is cut; None if no key is hot.
+
+    At most HOT rows, since each has more than a HOT-th of all: so they are broadcast at any size of the input.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT)
+    hot = materialize(sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts_")))
+    return None if hot.isEmpty() else hot
+
+
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with few on keys, which are never null. few has a row or a handful for each key; many may have any number.
+
+    sizes has keys and n, how many rows of many a key has. Rows of hot keys are dealt evenly over parts, and few's rows of
+    these keys go to all the parts.
+    """
+    hot = hot_keys(sizes, keys)
+    if hot is None:
+        return many.join(few, keys, how)
+    part = F.when(F.col("parts_").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("parts_"))).cast("int")
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("part_", part).drop("parts_")
+    right = few.join(F.broadcast(hot), keys, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))).drop("parts_")
+    return left.join(right, [*keys, "part_"], how).drop("part_")
+
+
+def prefix_sums(df: DataFrame, by: list[str], coarse: str, exact: dict[str, Column], sums: dict[str, str], order: list[Column], tie: str | None = None) -> DataFrame:
+    """df with columns of sums (new name: column), each over the rows of `by` that come before a row in the order.
+
+    The sums are two-level: over the groups of `coarse`, which the order must follow, and within each group. A hot group is
+    cut by the columns of exact, which the order follows inside it; rows that agree in all of them, if there is a column
+    tie of distinct numbers, must be equal in the order, and are cut by it. by and coarse are never null.
+    """
+    totals = [F.sum(c).alias(f"sum_{n}") for n, c in sums.items()]
+    groups = materialize(df.groupBy(*by, coarse).agg(F.count("*").alias("n"), *totals))
+    hot, cut = hot_keys(groups.select(*by, coarse, "n"), [*by, coarse]), []
+    if hot is not None:
+        cold = F.col("parts_").isNull()
+        df = df.join(F.broadcast(hot), [*by, coarse], "left").withColumns({f"exact_{n}": F.when(~cold, c) for n, c in exact.items()})
+        cut = [f"exact_{n}" for n in exact]
+        if tie:
+            df, cut = df.withColumn("part_", F.when(~cold, F.pmod(F.col(tie), F.col("parts_")))), [*cut, "part_"]
+        # What a group has in these columns is one value, so a join needs it once, and without nulls: as text.
+        df = df.withColumn("cut_", F.coalesce(F.to_json(F.struct(*cut)), F.lit(""))).drop("parts_")
+        groups = df.groupBy(*by, coarse, *cut, "cut_").agg(*totals)
+    over = Window.partitionBy(*by).orderBy(coarse, *cut).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, coarse, *(["cut_"] if cut else [])]
+    begins = groups.select(*keys, *[F.coalesce(F.sum(f"sum_{n}").over(over), F.lit(0)).alias(f"begin_{n}") for n in sums])
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(begins, keys).withColumns({n: F.col(f"begin_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    return out.drop(*[f"begin_{n}" for n in sums], *cut, "cut_")
+
+
 def held_out(doc_id: Column) -> Column:
     """The evaluation fold: a fifth of all identifiers."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
