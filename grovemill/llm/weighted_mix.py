@@ -5,7 +5,8 @@ shared again (water filling, in closed form over the sources in the order of the
 complete epochs first. The rest goes to documents in the order of exponential keys -ln(u) / weight, where u is a hash of
 the document's id and the weight is its quality, until the prefix sum of sizes reaches the budget; the document on the
 boundary gives the words that are left. Prefix sums are two-level: within narrow ranges of the key, and over the ranges'
-totals, so no source is sorted in one task. Only DataFrame functions are used.
+totals, so no source is sorted in one task; a range that many equal keys make hot is cut further. Only DataFrame functions
+are used.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemill.llm.common import WORD, materialize
+from grovemill.llm.common import WORD, materialize, prefix_sums, whole_row
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 7
-#: Key ranges of each source.
-RANGES = 4096
+#: Key ranges of an octave.
+STEPS = 4096
 #: Up to so many sources are broadcast; more are joined by shuffling.
 BROADCAST_SOURCES = 50_000
 SYMBOLS = "#*$%&|<>!"
@@ -55,43 +56,47 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return sources.select("has", "name", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def mix(documents: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
-    """doc_id, source, the columns of carry, size, source_size, target and taken (words, repeats counted), one row per row.
+def key_range(key: Column) -> Column:
+    """Numbers that go with the key: STEPS equal ranges in each octave, so whatever scales the keys, no range is wide."""
+    octave = F.floor(F.log2(key))
+    return (octave * STEPS + F.floor((key / F.pow(F.lit(2.0), octave) - 1) * STEPS)).cast("bigint")
+
+
+def mix(documents: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words, repeats counted), one row per row; if whole, also `row`,
+    a struct of all columns of documents, whose names therefore never meet those here.
 
     Null and empty texts have size 0 and take 0. A null source is a source of its own, last in order. Repeated rows are
-    sampled as rows of their own; with equal keys the smaller id, then the smaller size goes first. With no words at all
-    every target is 0; an empty table gives no rows. Without carry only ids, sources and sizes leave the scan.
+    sampled as rows of their own; with equal keys, as rows without an id have, the smaller id, then the smaller size goes
+    first. With no words at all every target is 0; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
     weight = quality_weight(text) if weight is None else weight
     key = -F.log(uniform(F.col("doc_id"), seed)) / weight
-    own = documents.select("doc_id", "source", *carry, word_count(text).alias("size"), key.alias("key_"))
-    own = own.withColumns({"has": F.col("source").isNotNull(), "name": F.coalesce(F.col("source").cast("string"), F.lit("")), "range_": F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key_"))) * ranges)).cast("int")})
-    if not carry:
-        own = materialize(own)
-    narrow = own.select("has", "name", "range_", "size")
-    by_range = materialize(narrow.groupBy("has", "name", "range_").agg(F.sum("size").alias("size")))
-    share = materialize(targets(by_range.select("has", "name", "size"), weights, most))
+    own = documents.select("doc_id", "source", word_count(text).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("nth"), *([whole_row(documents).alias("row")] if whole else []))
+    own = materialize(own.withColumns({"has": F.col("source").isNotNull(), "name": F.coalesce(F.col("source").cast("string"), F.lit("")), "range": key_range(F.col("key"))}))
+    narrow = own.drop("row")
+    share = materialize(targets(narrow.groupBy("has", "name").agg(F.sum("size").alias("size")), weights, most))
     share = F.broadcast(share) if share.count() <= BROADCAST_SOURCES else share
-    over = Window.partitionBy("has", "name").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    begins = by_range.withColumn("begins", F.coalesce(F.sum("size").over(over), F.lit(0))).drop("size")
-    within = Window.partitionBy("has", "name", "range_").orderBy("key_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("begins") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    out = own.join(begins, ["has", "name", "range_"]).withColumn("before_", before).join(share, ["has", "name"])
+    order = [F.col("key"), F.col("doc_id"), F.col("size")]
+    out = prefix_sums(narrow, ["has", "name"], "range", {"key": F.col("key"), "size": F.col("size")}, {"before": "size"}, order, "nth").join(share, ["has", "name"])
     budget = F.floor(F.col("target") + 0.5)
-    out = out.withColumn("epochs_", F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0))
-    rest = budget - F.col("epochs_") * F.col("source_size")
-    taken = F.col("epochs_") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("before_")))
-    return out.select("doc_id", "source", *carry, "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    out = out.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0))
+    rest = budget - F.col("epochs") * F.col("source_size")
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("before")))
+    out = out.withColumn("taken", taken.cast("bigint"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    return own.select("nth", "row").join(out.select("nth", *columns), "nth").select(*columns, "row") if whole else out.select(*columns)
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The mix as rows: each document once for every time that it is taken, a part of half its words or more as a whole."""
-    columns = documents.columns
-    carry = tuple(c for c in columns if c not in ("doc_id", "source"))
-    out = mix(documents, carry=carry, **options)
+    """The mix as rows of documents: each once for every time that it is taken, a part of half its words or more as a whole.
+
+    Columns of any name and type are kept. Rows without words are never taken, nor is anything of an empty table.
+    """
     times = F.when(F.col("size") > 0, F.floor((F.col("taken") / F.col("size")) + 0.5)).otherwise(0).cast("int")
-    return out.withColumn("times_", times).where("times_ > 0").withColumn("time_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*columns)
+    out = mix(documents, whole=True, **options).select(times.alias("times"), "row").where("times > 0")
+    return out.select(F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"), "row").select("row.*")
 
 
 SQL = rf"""
