@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemill.llm.common import materialize, scratch, slices
+from grovemill.llm.common import join_hot, materialize, scratch, slices
 
 
 @dataclass(frozen=True)
@@ -75,11 +75,12 @@ class Ledger:
         return blobs.join(seen, "blob", "left").withColumn("missing", lacking).where(F.size("missing") > 0).drop("seen")
 
     def scan(self, versions: DataFrame, named: DataFrame) -> None:
-        """versions: path, text. named: path, blob of the same rows. Scans what is unseen, and appends it."""
-        elected = self.todo(named.groupBy("blob").agg(F.min("path").alias("path")))
-        own = versions.withColumn("blob", digest(F.col("text")))
-        same = own["path"].eqNullSafe(elected["path"]) & (own["blob"] == elected["blob"])
-        texts = own.join(elected, same).select(own["blob"], "text", "missing")
+        """versions: path, text. named: path, blob of the same rows. Scans what is unseen, once for each blob, and appends it."""
+        keys = {"at": F.coalesce("path", F.lit(0)), "lost": F.col("path").isNull()}
+        elected = self.todo(named.groupBy("blob").agg(F.min("path").alias("path"))).withColumns(keys).drop("path")
+        # Rows that repeat a path and its text are one before they move, and meet the elected ones where they are then.
+        own = versions.select(digest(F.col("text")).alias("blob"), *[c.alias(n) for n, c in keys.items()], "text").groupBy("blob", *keys).agg(F.first("text").alias("text"))
+        texts = own.join(elected, ["blob", *keys]).select("blob", "text", "missing")
         rules = [(k, r, re.compile(r.pattern, re.ASCII)) for k, r in enumerate(self.rules)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,19 +105,28 @@ def digest(text) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def recorded(documents: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scans the table. path and blob of every row; blob and spans of blobs with findings; blob and n, its rows."""
+    spark = documents.sparkSession
+    versions = documents.select(F.col("doc_id").cast("bigint").alias("path"), F.col("text").cast("string").alias("text"))
+    named = materialize(versions.select("path", digest(F.col("text")).alias("blob")))
+    book = Ledger(spark, ledger or scratch(spark), rules)
+    book.scan(versions, named)
+    found = materialize(book.findings())
+    # Only blobs with findings can make the join back to the paths hot.
+    sizes = materialize(named.groupBy("blob").agg(F.count("*").alias("n")).where("n > 1").join(found.select("blob"), "blob"))
+    return named, found, sizes
+
+
 def scan(documents: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path (the doc_id) and spans of every row: array of (start, rank, stop, rule), never null.
 
     Null and empty texts are one blob without spans. Equal texts are scanned once, whatever their number of paths;
     repeated rows get equal rows, and null ids are paths like others. An empty table gives no rows.
     """
-    spark = documents.sparkSession
-    versions = documents.select(F.col("doc_id").cast("bigint").alias("path"), F.col("text").cast("string").alias("text"))
-    named = materialize(versions.select("path", digest(F.col("text")).alias("blob")))
-    book = Ledger(spark, ledger or scratch(spark), rules)
-    book.scan(versions, named)
+    named, found, sizes = recorded(documents, ledger, rules)
     none = F.array().cast(f"array<{SPAN}>")
-    return named.join(book.findings(), "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
+    return join_hot(named, found, ["blob"], sizes, "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def listed(array: F.Column) -> F.Column:
@@ -133,6 +143,40 @@ def report(documents: DataFrame) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def either_case(pattern: str) -> str:
+    """(?i:...) spelt out for ASCII letters: DuckDB would fold others to them as well."""
+    head, body, tail = re.fullmatch(r"(.*?)\(\?i:(.*)\)(.*)", pattern, re.DOTALL).groups() if "(?i:" in pattern else (pattern, "", "")
+    words = re.sub(r"(?<![\[A-Za-z0-9\\-])[a-z]+(?![-\]])", lambda m: "".join(f"[{c.upper()}{c}]" for c in m[0]), body)
+    return head + words + tail
+
+
+def sql_rule(rank: int, rule: Rule) -> str:
+    """All spans of a rule: the gaps before the matches and the matches themselves add up to where each begins."""
+    pattern = either_case(rule.pattern).replace("'", "''")
+    groups = re.compile(rule.pattern).groups
+    every = lambda g: f"regexp_extract_all(text, '(.*?)({pattern})', {g}, 's')"
+    return (
+        f"SELECT doc_id, nth, {rank} AS rank, '{rule.kind}' AS kind, unnest({every(1)}) AS gap, unnest({every(2)}) AS hit, unnest({every(2 + rule.group if groups else 2)}) AS part, "
+        f"generate_subscripts({every(1)}, 1) AS place, {rule.least} AS least FROM own"
+    )
+
+
+SQL = f"""
+WITH own AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS nth FROM documents),
+hits AS ({" UNION ALL ".join(sql_rule(k, r) for k, r in enumerate(RULES))}),
+placed AS (
+  SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY nth, rank ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM hits),
+found AS (SELECT nth, rank, kind, stop - length(hit) AS start, stop FROM placed WHERE length(part) >= least),
+listed AS (
+  SELECT nth, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base,
+         {", ".join(f"count(*) FILTER (rank = {k}) AS n_{kind}" for k, kind in enumerate(BASE))}
+  FROM found GROUP BY nth)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM own LEFT JOIN listed USING (nth)
+"""
+
+
 def redact(text: str, found: list) -> str:
     """The text with each span, overlapping ones as one, replaced by a mark of its first rule."""
     out, at, merged = [], 0, []
@@ -148,26 +192,26 @@ def redact(text: str, found: list) -> str:
 
 
 def redacted_documents(documents: DataFrame, ledger: str | None = None) -> DataFrame:
-    """The rows with their secrets replaced and n_chars counted anew; rows without secrets stay as they are."""
-    spark = documents.sparkSession
-    versions = documents.select(F.col("doc_id").cast("bigint").alias("path"), F.col("text").cast("string").alias("text"))
-    named = materialize(versions.select("path", digest(F.col("text")).alias("blob")))
-    book = Ledger(spark, ledger or scratch(spark))
-    book.scan(versions, named)
-    secret = book.findings().select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_"))
+    """The rows with their secrets replaced and n_chars counted anew; rows without secrets stay as they are.
+
+    Columns of any name and type are kept. Null and empty texts, repeated rows and null ids stay; an empty table gives no rows.
+    """
+    _, found, sizes = recorded(documents, ledger, RULES)
     columns = documents.columns
-    joined = documents.withColumn("name_", digest(F.col("text").cast("string"))).join(secret, F.col("name_") == F.col("blob_"), "left").select(*columns, "spans_")
     at = {c: i for i, c in enumerate(columns)}
+    plain = documents.toDF(*[f"c{i}" for i in range(len(columns))])
+    text = f"c{at['text']}"
+    joined = join_hot(plain.withColumn("blob", digest(F.col(text).cast("string"))), found, ["blob"], sizes, "left").select(*plain.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                arrays, found = list(part.columns[:-1]), part.column(len(columns)).to_pylist()
-                if any(found):
-                    texts = [redact(t, s) if s else t for t, s in zip(part.column(at["text"]).to_pylist(), found, strict=True)]
+            for part in slices(batch, text):
+                arrays, secret = list(part.columns[:-1]), part.column(len(columns)).to_pylist()
+                if any(secret):
+                    texts = [redact(t, s) if s else t for t, s in zip(part.column(at["text"]).to_pylist(), secret, strict=True)]
                     arrays[at["text"]] = pa.array(texts, part.schema.field(at["text"]).type)
                     if "n_chars" in at:
-                        counts = [len(t) if s else n for t, s, n in zip(texts, found, part.column(at["n_chars"]).to_pylist(), strict=True)]
+                        counts = [len(t) if s else n for t, s, n in zip(texts, secret, part.column(at["n_chars"]).to_pylist(), strict=True)]
                         arrays[at["n_chars"]] = pa.array(counts, part.schema.field(at["n_chars"]).type)
                 yield pa.RecordBatch.from_arrays(arrays, columns)
 

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from grovemill.llm.secret_ledger import RULES, Ledger, Rule, digest, redact, redacted_documents, report, scan
+import duckdb
+
+from grovemill.llm.secret_ledger import RULES, SQL, Ledger, Rule, digest, redact, redacted_documents, report, scan
 from tests.llm.helpers import documents, empty
 
 SECRETS = [
@@ -54,6 +56,23 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert found[5] == ["hex@2"] and spark.read.parquet(path).count() == 6
 
 
+def test_sql_twin(spark):
+    df, rows = documents(spark, 40)
+    rows = [*rows, *((900 + i, s, "en", "b", 1, 1, 2, "x") for i, s in enumerate(SECRETS))]
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    out = report(spark.createDataFrame(rows, df.schema))
+    assert sorted(con.sql(f"select {', '.join(out.columns)} from ({SQL})").fetchall(), key=str) == sorted(map(tuple, out.collect()), key=str)
+
+
+def test_repeated_rows_are_scanned_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    rows = [(1, SECRETS[0])] * 5 + [(None, SECRETS[2])] * 4 + [(None, SECRETS[0])]
+    got = scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), path).collect()
+    assert spark.read.parquet(path).count() == 2 and len(got) == 10 and all(r.spans for r in got)
+
+
 def test_redaction(spark):
     assert redact("a token=abcdef b", [{"start": 2, "stop": 14, "rank": 0, "rule": "assign@1"}, {"start": 8, "stop": 16, "rank": 2, "rule": "hex@1"}]) == "a [assign removed]"
     df, rows = documents(spark, 20)
