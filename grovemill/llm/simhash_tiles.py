@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemill.llm.common import materialize, slices, texts_of
+from grovemill.llm.common import discard, join_hot, materialize, row_hash, scratch, slices, swept, texts_of, whole_row
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a tile, and the group size that the choice of blocks aims at.
@@ -190,32 +190,37 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, tile: int = TIL
     return dealt.select(*(F.col(c).cast("bigint") for c in ("choice", "key", "low", "high", "own", "fp"))).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def with_least(pairs: DataFrame) -> DataFrame:
+    """pairs (x, y) with m, the least of x and its y."""
+    low = materialize(pairs.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), F.count("*").alias("n")))
+    return join_hot(pairs, low.select("x", "m"), ["x"], low.select("x", "n"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every end of an edge: root is the smallest v reachable. Large-star and small-star until nothing changes."""
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    last = None
-    for _ in range(most):
-        # Large star: every neighbour larger than v is tied to the smallest of v's neighbours and v.
-        both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
-        # Small star: v and its smaller neighbours are tied to the smallest of them.
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).distinct()
-        edges = materialize(small)
+    spark, last = edges.sparkSession, None
+    path = scratch(spark)
+    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), path)
+    while True:
+        with swept(spark) as keep:
+            # Large star: every neighbour larger than v is tied to the smallest of v's neighbours and v.
+            both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
+            large = materialize(with_least(both).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
+            # Small star: v and its smaller neighbours are tied to the smallest of them.
+            small = with_least(large).select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("v"), F.col("m").alias("u")).distinct()
+            edges, fresh = keep(small)
+        discard(spark, path)
+        path = fresh
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select("v", F.col("u").alias("root"))
         last = state
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """fp, root and component_id of every distinct fingerprint of docs (doc_id, fp)."""
-    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def rooted(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """distinct (fp, and other columns) with root, which fingerprints of a component share."""
     roots = components(links(distinct.select("fp"), distinct.count(), radius, tile))
-    linked = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, tile: int = TILE) -> DataFrame:
@@ -226,14 +231,25 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     gives no rows; columns other than doc_id and text are not read.
     """
     docs = materialize(fingerprints(documents, words, seed).drop("body"))
-    return docs.join(groups(docs, radius, tile).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    linked = materialize(rooted(distinct.select("fp", "least"), radius, tile))
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    named = join_hot(linked.select("fp", "root"), least.drop("n"), ["root"], least.select("root", "n")).drop("root")
+    return join_hot(docs, named, ["fp"], distinct.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The row with the smallest doc_id (null last) of every component, whole; of its repetitions the least by value."""
-    docs = materialize(fingerprints(documents, words, seed))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "body"))
-    kept = docs.join(groups(docs, radius).select("fp", "root"), "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.body").alias("body_"))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("own_id_"), F.xxhash64(F.col("text").cast("string")).alias("own_body_"), F.struct(*documents.columns).alias("row_"))
-    found = rows.join(kept, F.col("own_id_").eqNullSafe(F.col("id_")) & (F.col("own_body_") == F.col("body_")))
-    return found.groupBy("own_id_", "own_body_").agg(F.min("row_").alias("row_")).select("row_.*")
+    """The row with the smallest doc_id (null last) of every component, whole; of its repetitions that of the least hash.
+
+    Columns of any name and type are kept. Null and empty texts are one component; an empty table gives no rows.
+    """
+    docs = fingerprints(documents, words, seed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "body")).alias("first")
+    distinct = materialize(docs.groupBy("fp").agg(first))
+    kept = rooted(distinct, radius).groupBy("root").agg(F.min("first").alias("first"))
+    at = lambda name: F.coalesce(name, F.lit(0))
+    kept = kept.select(F.col("first.lost").alias("lost"), at("first.doc_id").alias("at"), F.col("first.body").alias("body"))
+    doc_id = F.col("doc_id").cast("bigint")
+    rows = documents.select(doc_id.isNull().alias("lost"), at(doc_id).alias("at"), F.xxhash64(F.col("text").cast("string")).alias("body"), row_hash(documents).alias("hash"), whole_row(documents).alias("row"))
+    # Repetitions are one before they move; the join finds them where they are then.
+    return rows.groupBy("lost", "at", "body").agg(F.min_by("row", "hash").alias("row")).join(kept, ["lost", "at", "body"]).select("row.*")

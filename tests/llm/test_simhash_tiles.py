@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from grovemill.llm import common
 from grovemill.llm.simhash_tiles import components, fingerprint_array, links, masks, near_duplicates
 from tests.llm.helpers import documents, empty
 
@@ -30,7 +32,9 @@ def roots(values, radius=4):
     return {v: find(v) for v in values}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [1, 512])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     df, rows = documents(spark, 80)
     fp = [slow(r[1]) for r in rows]
     assert fingerprint_array([r[1] or "" for r in rows]).tolist() == fp
@@ -64,6 +68,14 @@ def test_links_of_clustered_fingerprints(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_component_of_thousands_of_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    hub = spark.range(1, 3001).selectExpr("0L as a", "id as b")
+    chain = spark.range(5000, 5400).selectExpr("id as a", "id + 1 as b")
+    got = components(hub.unionByName(chain).unionByName(spark.range(10_000, 12_000).selectExpr("id as a", "13000L as b")))
+    assert {(r.root, r.n) for r in got.groupBy("root").agg(F.count("*").alias("n")).collect()} == {(0, 3000), (5000, 400), (10_000, 2000)}
+
+
 def test_every_choice_of_blocks_covers_the_radius():
     rng = np.random.default_rng(1)
     for agree in (1, 2, 3):
