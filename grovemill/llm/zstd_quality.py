@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from grovemill.llm.common import held_out, slices, texts_of
 
@@ -84,14 +85,17 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def fit(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> Classifier:
     """From at most `texts` labelled texts of each class outside the held-out fold, each of at most `chars` characters.
 
-    The texts are those with the smallest hashes of their ids; every second one builds the dictionaries, the others
-    calibrate. Of several labels for one id the lowest counts; labels without quality are left out.
+    The texts are those of the ids with the smallest hashes, one for each id: the one with the smallest hash. Equal texts
+    count once. Every second text builds the dictionaries, the others calibrate. Of several labels for one id the lowest
+    counts; labels without quality are left out.
     """
-    known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     picked = [known.where(c).withColumn("hash", F.xxhash64("doc_id")).orderBy("hash", "doc_id").limit(texts) for c in ("quality > 0", "quality <= 0")]
-    # At most 2 * texts rows of three numbers: bounded by the parameter.
+    # At most 2 * texts rows of three numbers: bounded by the parameter. So is what is collected, a text for each of them.
     sample = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, chars)).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    rows = sorted(((r.hash, r.doc_id, r.quality, r.text) for r in sample.select("hash", "doc_id", "quality", "text").collect()))
+    own = sample.groupBy("hash", "doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = {r.text: r for r in sorted(own.collect(), key=lambda r: (r.hash, r.doc_id), reverse=True)}
+    rows = sorted((r.hash, r.doc_id, r.quality, r.text) for r in rows.values())
     good, bad = ([t for *_, q, t in rows if (q > 0) == want] for want in (True, False))
     out = Classifier(dictionary(good[::2]).as_bytes(), dictionary(bad[::2]).as_bytes())
     if good and bad:
@@ -104,7 +108,7 @@ def fit(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, chars
     return out
 
 
-ADDED = "good_bytes bigint, bad_bytes bigint, score double, predicted int"
+ADDED = StructType().add("good_bytes", LongType()).add("bad_bytes", LongType()).add("score", DoubleType()).add("predicted", IntegerType())
 
 
 def classify(documents: DataFrame, model: Classifier, whole: bool = False) -> DataFrame:
@@ -115,8 +119,8 @@ def classify(documents: DataFrame, model: Classifier, whole: bool = False) -> Da
     """
     documents = documents if whole else documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = documents.columns if whole else ["doc_id"]
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in own), ADDED])
-    names = [*own, *(c.split()[0] for c in ADDED.split(", "))]
+    fields = StructType([f for f in documents.schema if f.name in own] + ADDED.fields)
+    names = fields.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
@@ -136,7 +140,10 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are predicted good, with their own columns, whose names may be those of the score's."""
+    """The rows that are predicted good, with all their columns, of any name and type.
+
+    Null and empty texts are judged as empty ones, repeated rows alike; an empty table gives no rows.
+    """
     columns = documents.columns
-    plain = documents.toDF(*[c if c in ("doc_id", "text") else f"own_{c}" for c in columns])
-    return classify(plain, fit(documents, labels), whole=True).where("predicted = 1").select(*[F.col(f"`{p}`").alias(c) for p, c in zip(plain.columns, columns, strict=True)])
+    plain = documents.toDF(*[c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(columns)])
+    return classify(plain, fit(documents, labels), whole=True).where("predicted = 1").select(*plain.columns).toDF(*columns)

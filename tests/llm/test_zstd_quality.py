@@ -2,8 +2,10 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from grovemill.llm.zstd_quality import calibrate, good_documents, score_documents
+from grovemill.llm import zstd_quality
+from grovemill.llm.zstd_quality import Classifier, calibrate, dictionary, fit, good_documents, score_documents
 from tests.llm.helpers import documents, empty, text
 
 
@@ -35,6 +37,41 @@ def test_held_out_accuracy_and_awkward_rows(spark):
         assert same.setdefault(texts[r.doc_id], r.score) == r.score
 
 
+def test_scores_against_a_row_by_row_computation(spark):
+    import zstandard
+
+    df, rows, labels = labelled(spark, 200)
+    model, out = fit(df, labels), score_documents(df, labels).collect()
+    texts = {r[0]: r[1] or "" for r in rows}
+    for r in out:
+        raw, size = texts[r.doc_id].encode(), {}
+        for name, own in (("good", model.good), ("bad", model.bad)):
+            pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=False, write_dict_id=False)
+            size[name] = sum(len(pack.compress(raw[i : i + 1024])) for i in range(0, max(len(raw), 1), 1024))
+        margin = (size["bad"] - size["good"]) / max(len(raw), 1)
+        assert (r.good_bytes, r.bad_bytes) == (size["good"], size["bad"])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))) < 1e-12
+    # The fit, from what it is documented to use: every second text, by the hash of its id.
+    known = {}
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = min(r.quality, known.get(r.doc_id, 9))
+    order = [r.doc_id for r in spark.createDataFrame([(k,) for k in known], "doc_id bigint").orderBy(F.xxhash64("doc_id")).collect()]
+    own = [(known[i], texts[i]) for i in order if texts.get(i)]
+    good, bad = ([t for q, t in own if q == want] for want in (1, 0))
+    assert (model.good, model.bad) == (dictionary(good[::2]).as_bytes(), dictionary(bad[::2]).as_bytes())
+
+
+def test_repeated_ids_and_texts_stay_within_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(zstd_quality, "dictionary", lambda texts: seen.append(texts) or dictionary(texts))
+    rows = [(i % 2, f"text {i} of one id " * 20) for i in range(3000)] + [(i, "the same text " * 30) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 if i else 0) for i in (0, 1, *range(10, 60))], "doc_id bigint, quality int")
+    assert isinstance(fit(df, labels, texts=5), Classifier)
+    assert all(len(t) <= 3 and len(set(t)) == len(t) for t in seen)
+
+
 def test_good_documents_keep_their_columns(spark):
     df, rows, labels = labelled(spark, 200)
     kept = good_documents(df.withColumnRenamed("bin", "score"), labels)
