@@ -8,41 +8,47 @@ blocks' totals, so a long conversation is spread over tasks. Only DataFrame func
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovemill.llm.common import join_hot, prefix_sums
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns of a block.
 BLOCK = 64
 
 
+def unmarked(x: Column) -> Column:
+    return F.replace(x, F.lit("<|"), F.lit("< |"))
+
+
 def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each turn and perspective: conv_id, perspective, seq, turn, role, name, segment, start, stop, mask_start, mask_stop.
 
     Offsets are code points of the dialogue, stop exclusive; a turn that is not the perspective's has an empty mask
     (mask_start = mask_stop = stop). Participants are the distinct roles but system; a null role speaks as "unknown"; a
-    null text is empty; marks inside a text are broken up, so no text can pose as another turn. Turns are in the order of
-    turn, null last, then role and text; repeated rows are turns of their own. A conversation of system turns alone, and an
-    empty table, give no rows; a null conv_id is a conversation.
+    null text is empty. Marks inside texts and role names are broken up, and line breaks of role names are spaces, so
+    neither can pose as another turn; roles that are equal then are one participant. Turns are in the order of turn, null
+    last, then role and the text's MD5, so a block without numbers, however large, is cut by these. Repeated rows are turns
+    of their own. A conversation of system turns alone, and an empty table, give no rows; a null conv_id is a conversation.
     """
-    text = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    own = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), text.alias("said"))
-    own = own.withColumns({"key": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "block": F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62))})
+    said = unmarked(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    speaker = unmarked(F.translate(F.coalesce(F.col("role").cast("string"), F.lit("unknown")), "\r\n", "  "))
+    own = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), speaker.alias("speaker"), said.alias("said"))
+    own = own.withColumns({"key": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")), "said_size": F.length("said").cast("bigint"), "block": F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62))})
     party = own.where("speaker <> 'system'").select("key", F.col("speaker").alias("perspective")).distinct()
     role = F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker") == "system", "system").otherwise("user")
-    seen = own.join(party, "key").withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
+    seen = join_hot(own, party, ["key"], own.groupBy("key").agg(F.count("*").alias("n"))).withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
     head = F.concat(F.lit(BEGIN), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
-    seen = seen.withColumn("segment", F.concat(head, F.col("said"), F.lit(END))).withColumn("size", F.length("segment").cast("bigint"))
+    # Sizes before texts: the first pass, over blocks, moves numbers only.
+    seen = seen.withColumns({"segment": F.concat(head, F.col("said"), F.lit(END)), "size": F.length(head) + F.col("said_size") + len(END), "one": F.lit(1).cast("bigint"), "md5": F.md5(F.col("said").cast("binary"))})
 
-    sizes = seen.groupBy("key", "perspective", "block").agg(F.sum("size").alias("chars"), F.count("*").alias("rows"))
-    over = Window.partitionBy("key", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select("key", "perspective", "block", F.coalesce(F.sum("chars").over(over), F.lit(0)).alias("chars"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows"))
-    order = Window.partitionBy("key", "perspective", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "said")
-    out = seen.join(begins, ["key", "perspective", "block"])
-    out = out.withColumn("start", F.col("chars") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = out.withColumn("seq", F.col("rows") + F.row_number().over(order) - 1).withColumn("stop", F.col("start") + F.col("size"))
+    exact = {"turn": F.coalesce("turn", F.lit(2**62)), "speaker": F.col("speaker"), "md5": F.substring("md5", 1, 3)}
+    order = [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("md5"), F.col("said")]
+    out = prefix_sums(seen, ["key", "perspective"], "block", exact, {"start": "size", "seq": "one"}, order)
+    out = out.withColumn("stop", F.col("start") + F.col("size"))
     masked = F.col("role") == "assistant"
-    mask_start = F.when(masked, F.col("stop") - F.length("said") - F.length(F.lit(END))).otherwise(F.col("stop"))
+    mask_start = F.when(masked, F.col("stop") - F.col("said_size") - len(END)).otherwise(F.col("stop"))
     return out.select("conv_id", "perspective", "seq", "turn", "role", "name", "segment", "start", "stop", mask_start.alias("mask_start"), F.col("stop").alias("mask_stop"))
 
 
@@ -56,7 +62,7 @@ def dialogues(turns: DataFrame) -> DataFrame:
 
 SQL = f"""
 WITH own AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+  SELECT conv_id, turn, replace(translate(coalesce(role, 'unknown'), chr(13) || chr(10), '  '), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
 party AS (SELECT DISTINCT conv_id, speaker AS perspective FROM own WHERE speaker <> 'system'),
 seen AS (
   SELECT o.conv_id, o.turn, o.speaker, o.said, p.perspective,
@@ -67,7 +73,7 @@ cut AS (
   SELECT *, '{BEGIN}' || role || coalesce(' name=' || name, '') || chr(10) || said || '{END.strip()}' || chr(10) AS segment FROM named),
 placed AS (
   SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(sum(length(segment)) OVER w AS BIGINT) AS stop FROM cut
-  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, said ROWS UNBOUNDED PRECEDING))
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, md5(said), said ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, seq, turn, role, name, segment, stop - length(segment) AS start, stop,
        CASE WHEN role = 'assistant' THEN stop - length(said) - {len(END)} ELSE stop END AS mask_start, stop AS mask_stop
 FROM placed
