@@ -1,9 +1,10 @@
 import gzip
 import hashlib
 
+import duckdb
 import pytest
 
-from grovemill.llm.warc_segments import archive_and_read, decode_chunks, page_records, parse, reassemble, segments, transfer_chunks, write_archives
+from grovemill.llm.warc_segments import SQL, archive_and_read, decode_chunks, page_records, parse, reassemble, segments, transfer_chunks, write_archives
 
 SCHEMA = "page_id bigint, url string, html string, digest string, fault int"
 LONG = "<p>" + "long päge " * 3000
@@ -32,6 +33,21 @@ def test_round_trip(spark, segment):
     assert sorted(map(tuple, archive_and_read(spark.createDataFrame(ROWS, SCHEMA), segment).collect()), key=str) == slow()
 
 
+def test_sql_twin():
+    con = duckdb.connect()
+    con.sql("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [r[:3] for r in ROWS])
+    assert sorted(con.sql(SQL).fetchall(), key=str) == slow()
+
+
+def test_thousands_of_equal_rows(spark):
+    df = spark.range(6000).selectExpr("if(id < 3000, 7, id) as page_id", "'u' as url", f"'{'x' * 150}' as html")
+    pages = write_archives(df, segment=100)
+    assert segments(pages).where("number = 1 and type = 'response'").count() <= pages.count()
+    got = {(r.record_type, r.refers_to): r["count"] for r in archive_and_read(df, 100).groupBy("record_type", "refers_to").count().collect()}
+    assert got == {("response", None): 3000, ("revisit", 7): 3000}
+
+
 def test_archives_are_plain_warc_files(spark):
     rows = write_archives(spark.createDataFrame(ROWS, SCHEMA), segment=500, archive=2000).collect()
     assert len(rows) > len({r.name.rsplit("-", 1)[0] for r in rows})
