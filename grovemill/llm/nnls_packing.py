@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemill.llm.common import materialize, slices
+from grovemill.llm.common import materialize, prefix_sums, slices
 from grovemill.llm.tokens import default_vocabulary, shared_encoder
 
 WINDOW, UNIT, END_ID = 2048, 8, 1
@@ -192,16 +192,15 @@ def pack(documents: DataFrame, vocabulary: str | None = None, window: int = WIND
     if window % (2 * unit):
         raise ValueError("half a window must be a whole number of units")
     half, units = window // 2, window // unit
-    cut = materialize(pieces(documents, vocabulary, window).withColumn("bin", F.ceil(F.col("length") / unit).cast("int")))
+    cut = materialize(pieces(documents, vocabulary, window).withColumns({"bin": F.ceil(F.col("length") / unit).cast("int"), "row": F.monotonically_increasing_id(), "one": F.lit(1).cast("bigint")}))
     counts = {r["bin"]: r["n"] for r in cut.groupBy("bin").agg(F.count("*").alias("n")).collect()}
     found = plan(counts, units)
 
-    # Rank within the bin: groups of about `ranked` rows, and where each begins.
+    # Rank within the bin: groups of about `ranked` rows by hash. One that equal pieces make hot is cut further.
     salts = max(8, -(-sum(counts.values()) // ranked))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(salts)).cast("int"))
-    begins = salted.groupBy("bin", "salt").agg(F.count("*").alias("n")).withColumn("begins", F.sum("n").over(Window.partitionBy("bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("bin", "salt", F.coalesce("begins", F.lit(0)).alias("begins"))
-    within = Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    ranks = salted.withColumn("nth", F.row_number().over(within) - 1).join(begins, ["bin", "salt"]).withColumn("rank", F.col("nth") + F.col("begins"))
+    same = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    salted = cut.withColumn("hash", F.xxhash64(*same)).withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
+    ranks = prefix_sums(salted, ["bin"], "salt", {"hash": F.col("hash")}, {"rank": "one"}, [F.col("hash"), *map(F.col, same)], "row")
 
     slots = sorted(found.slots())
     key = np.array([(k << 44) + first for k, first, *_ in slots], np.int64)
