@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can express; the others are held against brute force in tests/llm."""
-    return {"op4_perspectives": perspectives.SQL, "op6_weighted_mix": weighted_mix.SQL}
+    return {"op2_secret_ledger": secret_ledger.SQL, "op4_perspectives": perspectives.SQL, "op5_warc_segments": warc_segments.SQL, "op6_weighted_mix": weighted_mix.SQL}

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from grovemill.llm import media_chunks
 from grovemill.llm.media_chunks import GEAR, Filter, cuts, store_and_read, wav_header, write
 from tests.llm.helpers import documents, empty
 
@@ -40,7 +41,9 @@ def want(row):
     raw = (row[1] or "").encode()
     payload = raw + bytes(-len(raw) % 64 if raw else 64)
     media = wav_header(len(payload)) + payload
-    return (row[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+    crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:], strict=False))
+    feature = f"{len(payload)}:{sum(payload)}:{sum(b * b for b in payload)}:{crossings}"
+    return (row[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
 
 
 def test_round_trip_and_every_chunk_once(spark, tmp_path):
@@ -51,10 +54,7 @@ def test_round_trip_and_every_chunk_once(spark, tmp_path):
     df = spark.createDataFrame(rows, df.schema)
     store = f"file://{tmp_path}/store"
     out = store_and_read(df, store).collect()
-    assert sorted((tuple(r)[:7] for r in out), key=str) == sorted(map(want, rows), key=str)
-    of = {}
-    for r in out:
-        assert of.setdefault(r.payload_sha256, r.feature) == r.feature
+    assert sorted(map(tuple, out), key=str) == sorted(map(want, rows), key=str)
     recipes, chunks = spark.read.parquet(f"{store}/recipes").collect(), spark.read.parquet(f"{store}/chunks").collect()
     apart = {c.digest for c in chunks}
     assert len(apart) == len(chunks)
@@ -62,6 +62,12 @@ def test_round_trip_and_every_chunk_once(spark, tmp_path):
     assert len(once) == len(set(once)) and not apart & set(once)
 
 
+def test_a_saturated_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(media_chunks, "FILTER_BITS", (64, 64))
+    df, rows = documents(spark, 40)
+    assert sorted(map(tuple, store_and_read(df).collect()), key=str) == sorted(map(want, rows), key=str)
+
+
 def test_damage_is_found(spark, tmp_path):
     df, _ = documents(spark, 30)
     store = write(df, f"file://{tmp_path}/store")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from grovemill.llm.common import materialize
 from grovemill.llm.simhash_tiles import one_of_each
 from grovemill.llm.weighted_mix import mix
 from grovemill.llm.zstd_quality import score_documents
@@ -31,7 +32,7 @@ def test_stages_against_brute_force(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     out = [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out.append(corpus_pipeline.materialize(stage(spark, out[-1], corpus)))
+        out.append(materialize(stage(spark, out[-1], corpus)))
         assert out[-1].columns == COLUMNS, name
     before, good, alone, clean, mixed = ([tuple(r) for r in d.collect()] for d in out)
 
@@ -60,7 +61,13 @@ def test_stages_against_brute_force(spark, corpus):
 
 
 def test_run(spark, corpus):
-    assert "sequence_id" in corpus_pipeline.run(spark, corpus).columns
+    out = corpus_pipeline.run(spark, corpus)
+    assert "sequence_id" in out.columns and out.count() > 0
+    for keep in ("doc_id is null", "doc_id < 0"):
+        few = f"{corpus}/{len(keep)}"
+        spark.read.parquet(f"{corpus}/documents.parquet").where(keep).write.parquet(f"{few}/documents.parquet")
+        spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{few}/labels.parquet")
+        assert (corpus_pipeline.run(spark, few).count() > 0) == (keep == "doc_id is null")
 
 
 def test_one_of_each_with_repetitions_and_empty(spark):

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grovemill.llm.rule_trees import BASE, FEATURES, fit, judge, repeated, statistics
+from grovemill.llm.rule_trees import BASE, FEATURES, document_statistics, fit, judge, repeated, statistics, train
 from tests.llm.helpers import documents, empty
 from tests.llm.test_zstd_quality import labelled
 
@@ -48,6 +48,28 @@ def test_verdicts(spark):
     assert np.mean(right) > 0.97
 
 
+def test_scores_equal_a_walk_of_every_tree():
+    rng = np.random.default_rng(5)
+    x = rng.random((800, 5))
+    model = fit(x, (rng.random(800) < x[:, 0] * x[:, 1]).astype(float), [1, 0, -1, 0, 0], trees=20)
+
+    def walk(row, t, node=0):
+        f = model.feature[t, node]
+        if f < 0:
+            return model.value[t, node]
+        return walk(row, t, model.left[t, node] if row[f] <= model.threshold[t, node] else model.right[t, node])
+
+    want = [1 / (1 + np.exp(-(model.start + sum(walk(row, t) for t in range(20))))) for row in x]
+    assert np.allclose(model.score(x), want) and len(set(np.round(want, 6))) > 50
+
+
+def test_the_sample_is_bounded_though_labels_lack_documents(spark):
+    df, rows, labels = labelled(spark, 300)
+    far = spark.range(100_000, 104_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    model = train(document_statistics(df), labels.unionByName(far), rows=200)
+    assert len(set(np.round(model.value[0], 9))) > 1
+
+
 def test_monotone_in_each_constrained_feature():
     rng = np.random.default_rng(3)
     x = rng.random((3000, 4))
