@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from grovemill.llm import nnls_packing, secret_ledger, simhash_tiles, weighted_mix, zstd_quality
-from grovemill.llm.common import materialize, table
+from grovemill.llm.common import discard, swept, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over all documents: the pieces of the last one.
+
+    Each stage's rows are written and read back for the next one; what a stage wrote on its way, and the rows before it, are
+    deleted then. Columns of documents may have any name and type; null, empty, very long and repeated texts are defined by
+    the operators; an empty table gives no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with swept(spark) as keep:
+            docs, path = keep(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
