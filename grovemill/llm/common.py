@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Of n rows, a key with more than n / HOT of them, and more than HOT_ROWS, is hot: so there are HOT such keys at most.
 HOT, HOT_ROWS = 10_000, 512
+#: Groups of a prefix sum that are summed up together.
+BAND = 64
 
 #: Folders written within the open scopes of `swept`.
 _scopes: list[list[str]] = []
@@ -126,7 +128,7 @@ def join_hot(many: DataFrame, few: DataFrame, keys: list[str], sizes: DataFrame,
 def prefix_sums(df: DataFrame, by: list[str], coarse: str, exact: dict[str, Column], sums: dict[str, str], order: list[Column], tie: str | None = None) -> DataFrame:
     """df with columns of sums (new name: column), each over the rows of `by` that come before a row in the order.
 
-    The sums are two-level: over the groups of `coarse`, which the order must follow, and within each group. A hot group is
+    The sums are two-level: over the groups of `coarse`, an integer that the order must follow, and within each. A hot group is
     cut by the columns of exact, which the order follows inside it; rows that agree in all of them, if there is a column
     tie of distinct numbers, must be equal in the order, and are cut by it. by and coarse are never null.
     """
@@ -142,11 +144,15 @@ def prefix_sums(df: DataFrame, by: list[str], coarse: str, exact: dict[str, Colu
         # What a group has in these columns is one value, so a join needs it once, and without nulls: as text.
         df = df.withColumn("cut_", F.coalesce(F.to_json(F.struct(*cut)), F.lit(""))).drop("parts_")
         groups = df.groupBy(*by, coarse, *cut, "cut_").agg(*totals)
-    over = Window.partitionBy(*by).orderBy(coarse, *cut).rowsBetween(Window.unboundedPreceding, -1)
+    # The groups' own sums are two-level again, so those of one hot value of `by` don't meet in one task either.
+    groups = groups.withColumn("band", F.floor(F.col(coarse) / BAND))
+    over, across = Window.partitionBy(*by, "band").orderBy(coarse, *cut), Window.partitionBy(*by).orderBy("band")
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = groups.groupBy(*by, "band").agg(*[F.sum(f"sum_{n}").alias(f"sum_{n}") for n in sums]).select(*by, "band", *[earlier(across, f"sum_{n}").alias(f"base_{n}") for n in sums])
     keys = [*by, coarse, *(["cut_"] if cut else [])]
-    begins = groups.select(*keys, *[F.coalesce(F.sum(f"sum_{n}").over(over), F.lit(0)).alias(f"begin_{n}") for n in sums])
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(begins, keys).withColumns({n: F.col(f"begin_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    begins = groups.select(*keys, "band", *[earlier(over, f"sum_{n}").alias(f"begin_{n}") for n in sums]).join(bands, [*by, "band"]).select(*keys, *[(F.col(f"begin_{n}") + F.col(f"base_{n}")).alias(f"begin_{n}") for n in sums])
+    within = Window.partitionBy(*keys).orderBy(*order)
+    out = df.join(begins, keys).withColumns({n: F.col(f"begin_{n}") + earlier(within, c) for n, c in sums.items()})
     return out.drop(*[f"begin_{n}" for n in sums], *cut, "cut_")
 
 
