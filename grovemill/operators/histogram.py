@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from grovemill.plans.trees import Feature, Flat, Tree
 
-#: Cells of a task's dense arrays at most; beyond it each batch hands on its own sums.
+#: Cells of a task's dense arrays at most; beyond it nodes are counted in blocks.
 DENSE = 4_000_000
+#: Rows that are gathered for each pass over the blocks of a task whose arrays would be larger.
+GATHER = 1 << 19
+#: Pairs of nodes and features up to so many are broadcast (some tens of MB).
+BROADCAST = 500_000
 
 Batch = list[tuple[int, int]]
 
@@ -43,15 +47,18 @@ def sums(classes: int, y: Column, w: Column) -> list[Column]:
 
 def sql_histogram(frame: DataFrame, trees: list[Tree], features: list[Feature], batch: Batch, classes: int = 0, chosen: dict | None = None) -> DataFrame:
     """frame: y, w_0.. (a weight for each tree), b_0.. (bin ids). Rows without weight, and at nodes not in the batch, count nothing."""
-    wanted = {t: sorted(n for u, n in batch if u == t) for t in {t for t, _ in batch}}
-    each = [F.struct(F.lit(t).alias("tree"), trees[t].on_bins(features, lambda n: F.lit(n.id)).cast("int").alias("node"), F.col(f"w_{t}").cast("double").alias("w")) for t in sorted(wanted)]
-    bins = [F.struct(F.lit(j).alias("feature"), F.col(f"b_{j}").cast("int").alias("bin")) for j in range(len(features))]
-    rows = frame.select("y", F.array(*bins).alias("bins"), F.inline(F.array(*each))).where("w > 0")
+    wanted = {t: sorted(n for u, n in batch if u == t) for t in sorted({t for t, _ in batch})}
+    placed = [x for t in wanted for x in (trees[t].on_bins(features, lambda n: F.lit(n.id)).cast("int").alias(f"node_{t}"), F.col(f"w_{t}").cast("double").alias(f"w_{t}"))]
+    bins = [F.col(f"b_{j}").cast("int").alias(f"b_{j}") for j in range(len(features))]
+    # stack reads columns that a projection has computed once; the optimiser copies what explode and inline read into filters.
+    rows = frame.select("y", *bins, *placed)
+    rows = rows.select("y", *[f"b_{j}" for j in range(len(features))], F.stack(F.lit(len(wanted)), *[x for t in wanted for x in (F.lit(t), F.col(f"node_{t}"), F.col(f"w_{t}"))]).alias("tree", "node", "w")).where("w > 0")
     rows = rows.where(F.expr(" or ".join(f"(tree = {t} and node in ({', '.join(map(str, own))}))" for t, own in wanted.items())))
-    rows = rows.select("tree", "node", "y", "w", F.inline("bins"))
+    rows = rows.select("tree", "node", "y", "w", F.stack(F.lit(len(features)), *[x for j in range(len(features)) for x in (F.lit(j), F.col(f"b_{j}"))]).alias("feature", "bin"))
     if chosen:
-        few = frame.sparkSession.createDataFrame([(t, n, f) for (t, n), own in chosen.items() for f in own], "tree int, node int, feature int")
-        rows = rows.join(F.broadcast(few), ["tree", "node", "feature"], "semi")
+        own = [(t, n, f) for (t, n), every in chosen.items() for f in every]
+        few = frame.sparkSession.createDataFrame(own, "tree int, node int, feature int")
+        rows = rows.join(F.broadcast(few) if len(own) <= BROADCAST else few, ["tree", "node", "feature"], "semi")
     return rows.groupBy("tree", "node", "feature", "bin").agg(*sums(classes, F.col("y"), F.col("w")))
 
 
@@ -106,6 +113,21 @@ def arrow_histogram(frame: DataFrame, trees: list[Tree], features: list[Feature]
         # Entries are taken in blocks, so arrays stay within `dense` cells whatever the number of nodes.
         per = max(1, dense // max(1, int(counter.at[-1]) * counter.k))
         whole = np.zeros((len(batch), int(counter.at[-1]), counter.k)) if len(batch) <= per else None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            own, bins, y, w = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(0, len(batch) + per, per))
+            for k, first in enumerate(range(0, len(batch), per)):
+                some = order[cuts[k] : cuts[k + 1]]
+                if len(some):
+                    small = Counter(features, min(per, len(batch) - first), classes)
+                    block = np.zeros((small.entries, int(small.at[-1]), small.k))
+                    small.dense(block, own[some] - first, bins[:, some], y[some], w[some])
+                    yield rows(block, first)
+
         for part in batches:
             if not part.num_rows:
                 continue
@@ -120,17 +142,15 @@ def arrow_histogram(frame: DataFrame, trees: list[Tree], features: list[Feature]
                 live = np.flatnonzero((own >= 0) & (ws[t] > 0))
                 if whole is not None:
                     counter.dense(whole, own[live], bins[:, live], y[live], ws[t][live])
-                    continue
-                for first in range(0, len(batch), per):
-                    some = live[(own[live] >= first) & (own[live] < first + per)]
-                    if len(some):
-                        small = Counter(features, min(per, len(batch) - first), classes)
-                        block = np.zeros((small.entries, int(small.at[-1]), small.k))
-                        small.dense(block, own[some] - first, bins[:, some], y[some], ws[t][some])
-                        yield rows(block, first)
+                elif len(live):
+                    held.append((own[live], bins[:, live], y[live], ws[t][live]))
+                    if sum(len(h[0]) for h in held) >= GATHER:
+                        yield from blocks()
         if whole is not None:
             yield rows(whole)
+        elif held:
+            yield from blocks()
 
     picked = frame.select(F.col("y").cast("double"), *[F.col(f"w_{t}").cast("double") for t in use], *[F.col(f"b_{j}").cast("int") for j in range(len(features))])
-    # Dealt by feature, the sums' order serves the windows of the split search as well.
-    return picked.mapInArrow(run, schema(classes)).repartition("tree", "node", "feature").groupBy("tree", "node", "feature", "bin").agg(*[F.sum(s).alias(s) for s in stats_names(classes)])
+    # Summed up by all four keys in each task before anything moves; the windows of the split search deal what is left.
+    return picked.mapInArrow(run, schema(classes)).groupBy("tree", "node", "feature", "bin").agg(*[F.sum(s).alias(s) for s in stats_names(classes)])

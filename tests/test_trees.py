@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovemill.operators.binning import EqualWidth, Segmenting
-from grovemill.operators import split
+from grovemill.operators import histogram, split
 from grovemill.operators.discretize import discretize
 from grovemill.operators.histogram import arrow_histogram, sql_histogram
 from grovemill.plans.grow import GrowOptions, grow, grow_local
@@ -121,5 +121,13 @@ def test_histograms_beyond_dense_arrays_and_with_many_features(spark, monkeypatc
     want = sorted(map(tuple, plain.collect()))
     assert sorted(map(tuple, whole.collect())) == want == sorted(map(tuple, blocks.collect())) and len({r[1] for r in want}) == 2
     shape = grow(df, features, GrowOptions(max_depth=3))[0].shape()
+    monkeypatch.setattr(histogram, "GATHER", 3)
+    assert sorted(map(tuple, arrow_histogram(df, [tree], features, batch, dense=1).collect())) == want
+    for h in (whole, plain):
+        plan = h._jdf.queryExecution().executedPlan().toString()
+        # Read from below: partial sums by all four keys come before the first exchange, which is by the same keys.
+        below = plan[plan.index("Exchange hashpartitioning(tree") :]
+        assert below.startswith("Exchange hashpartitioning(tree") and all(k in below.split("\n")[0] for k in ("tree", "node", "feature", "bin")) and "partial_sum" in below.split("\n")[1]
+        assert "Exchange" not in below.split("\n", 1)[1]
     monkeypatch.setattr(split, "LITERALS", 0)
     assert grow(df, features, GrowOptions(max_depth=3))[0].shape() == shape
