@@ -11,7 +11,3 @@ class CardinalityOverLimit(ValueError):
 
 class InvalidLabel(ValueError):
     """A label that is missing, not a class, or a class that no row has."""
-
-
-class UnexpectedKey(KeyError):
-    """A key out of sequence."""

@@ -6,10 +6,11 @@ from __future__ import annotations
 from typing import ClassVar
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovemill.functions.scalars import clamped_exp, clamped_log, ratio, sigmoid
+from grovemill.operators.sampling import order_statistics
 
 LOW, HIGH = 1e-15, 1 - 1e-15
 
@@ -64,16 +65,14 @@ class Loss:
     def means(self, f: np.ndarray) -> np.ndarray:
         return f
 
-    #: Sums that make a leaf's estimate: rows of (numerator, denominator), or None if it takes a median.
-    def parts(self, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        raise NotImplementedError
-
-    def from_parts(self, up: float, down: float) -> float:
-        return up / down if down else 0.0
-
+    # Over DataFrames ----------------------------------------------------------------------------------------------
+    def initial_of(self, rows: DataFrame) -> float:
+        """rows: y, w."""
+        return float(rows.agg(self.initial().alias("v")).first()["v"])
 
-def log_of(x: float) -> float:
-    return -19.0 if x == 0 else float(min(max(np.log(x), -19.0), 19.0)) if x > 0 else float("nan")
+    def estimates_of(self, rows: DataFrame) -> dict[int, float]:
+        """Of each node its estimate; rows: node, y, f, w. A row a node returns."""
+        return {r["node"]: r["v"] for r in rows.where("w > 0").groupBy("node").agg(self.estimate().alias("v")).collect()}
 
 
 class Gaussian(Loss):
@@ -93,7 +92,8 @@ class Gaussian(Loss):
 
 
 class Laplacian(Loss):
-    """Medians are the upper ones of the rows with weight, however often a row is drawn."""
+    """Medians are the upper ones of the rows with weight, however often a row is drawn. Their SQL text gathers a group's
+    values in one task; training finds them by rounds of counting."""
 
     name = "laplacian"
 
@@ -109,15 +109,18 @@ class Laplacian(Loss):
     def estimate_sql(self, y="y", f="f", w="w"):
         return f"percentile_disc(0.5) within group (order by ({y} - {f}) desc) filter (where {w} > 0)"
 
+    def initial_of(self, rows):
+        return order_statistics(rows.where("w > 0"), "y")[None]
+
+    def estimates_of(self, rows):
+        return order_statistics(rows.where("w > 0").selectExpr("node", "y - f as rest"), "rest", group="node")
+
     def gradients(self, y, f):
         return np.sign(y - f)
 
     def deviances(self, y, f):
         return np.abs(y - f)
 
-    def parts(self, y, f):
-        return None
-
 
 class Poisson(Loss):
     name = "poisson"
@@ -146,12 +149,6 @@ class Poisson(Loss):
     def means(self, f):
         return np.exp(np.clip(f, -19, 19))
 
-    def parts(self, y, f):
-        return y, np.exp(np.clip(f, -19, 19))
-
-    def from_parts(self, up, down):
-        return log_of(up / down) if down else 0.0
-
 
 class Binary(Loss):
     """Labels 0 and 1. The initial value is a clamped log of the odds, times `odds`."""
@@ -195,10 +192,6 @@ class LogLoss(Binary):
         p = self.probability(f)
         return -(y * np.log(p) + (1 - y) * np.log(1 - p))
 
-    def parts(self, y, f):
-        p = self.probability(f)
-        return y - p, p - p * p
-
 
 class Exponential(Binary):
     name, odds = "adaboost", "0.5e0"
@@ -224,10 +217,6 @@ class Exponential(Binary):
     def deviances(self, y, f):
         return np.exp(-(2 * y - 1) * f)
 
-    def parts(self, y, f):
-        e = self.deviances(y, f)
-        return (2 * y - 1) * e, e
-
 
 class TruncatedHinge(Binary):
     """most: the largest probability; margin: how far beyond 0 a row still counts."""

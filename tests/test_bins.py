@@ -4,7 +4,8 @@ import pytest
 from grovemill.errors import CardinalityOverLimit, InvalidCategory, InvalidLabel
 from grovemill.operators.binning import EqualWidth, NumericBins, Segmenting, segment
 from grovemill.operators.discretize import discretize
-from grovemill.operators.sampling import Reservoir, bag_count, kth, reservoir
+from grovemill.operators import sampling
+from grovemill.operators.sampling import Reservoir, bag_count, kth, reservoir, upper_median
 from grovemill.operators.summary import LabelSummary, validate_label
 from tests.fixtures import DATA1, DATA3, DATA6, NAN, frame
 
@@ -107,3 +108,18 @@ def test_reservoirs_and_order_statistics(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     assert [kth(df, "v", k).first().value for k in (0, 3, 7)] == [-152, 2, 323] and kth(df, "v", 8).collect() == []
     assert reservoir(spark.range(50), 10, "id").count() == 10
+
+
+def test_order_statistics_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.lognormal(0, 6, 400), -rng.lognormal(0, 6, 300), np.full(200, 3.5), [1.7e308, -1.7e308, 5e-324, 0.0]])
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(values)] + [(7, 2.0), (8, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for buckets in (4, 512):
+        monkeypatch.setattr(sampling, "BUCKETS", buckets)
+        own = np.sort([v for _, v in rows if v is not None])
+        assert sampling.order_statistics(df, "v") == {None: own[len(own) // 2]}
+        want = {g: np.sort([v for h, v in rows if h == g]) for g in (0, 1, 2, 7)}
+        assert sampling.order_statistics(df, "v", lambda n: n - 1, "g") == {g: v[-1] for g, v in want.items()}
+        assert sampling.order_statistics(df, "v", group="g") == {g: v[len(v) // 2] for g, v in want.items()}
+    assert sampling.order_statistics(df.where("g > 9"), "v") == {} and upper_median(df.where("g = 8"), "v").collect() == []
