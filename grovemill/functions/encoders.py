@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovemill.errors import CardinalityOverLimit
-from grovemill.functions.scalars import category, number, string_hash_bucket
+from grovemill.functions.scalars import category, number, quoted, string_hash_bucket
 
 #: Dictionaries beyond this size are joined, not written into the expression.
 LITERALS = 2000
+#: Dictionaries up to this size are broadcast (some tens of MB); larger ones are joined by shuffling.
+BROADCAST = 500_000
 
 
 def distinct_values(df: DataFrame, names: list[str], most: int) -> dict[str, list[str]]:
@@ -44,18 +46,34 @@ class Encoder:
             return F.coalesce(found, F.raise_error(F.concat(F.lit(f"unseen category of {self.name}: "), category(self.name))).cast("double"))
         return found
 
+    @property
+    def joined(self) -> bool:
+        """Whether the dictionary is too large for an expression."""
+        return self.mapping is not None and len(self.mapping) > LITERALS and self.unseen != "error"
+
     def encode(self, df: DataFrame, out: str) -> DataFrame:
-        """df with the encoded column; large dictionaries are joined."""
-        if self.mapping is None or len(self.mapping) <= LITERALS or self.unseen == "error":
-            return df.withColumn(out, self.column())
-        rows = df.sparkSession.createDataFrame(list(self.mapping.items()), "k_ string, v_ int")
-        return df.join(F.broadcast(rows), category(self.name) == F.col("k_"), "left").withColumn(out, F.col("v_").cast("double")).drop("k_", "v_")
+        """df with the encoded column."""
+        own = [quoted(c) for c in df.columns if c != out]
+        return encode_all(df, [self], own, [out])
 
     @property
     def cardinality(self) -> int | None:
         return self.buckets if self.buckets is not None else None if self.mapping is None else len(self.mapping)
 
 
+def encode_all(df: DataFrame, encoders: list[Encoder], carried: list[Column], names: list[str] | None = None) -> DataFrame:
+    """The carried columns, then each encoder's, named x_0, x_1, ... if no names are given. Large dictionaries are joined,
+    by broadcasting if they have up to BROADCAST values."""
+    names = names or [f"x_{j}" for j in range(len(encoders))]
+    wide = [(j, e) for j, e in enumerate(encoders) if e.joined]
+    out = df.select(*carried, *[category(e.name).alias(f"key of {n}") if e.joined else e.column().alias(n) for n, e in zip(names, encoders, strict=True)])
+    for j, e in wide:
+        rows = df.sparkSession.createDataFrame([(k, float(v)) for k, v in e.mapping.items()], f"`key of {names[j]}` string, `{names[j]}` double")
+        out = out.join(F.broadcast(rows) if len(e.mapping) <= BROADCAST else rows, f"key of {names[j]}", "left")
+    kept = len(carried)
+    return out if not wide else out.select(*[quoted(c) for c in out.columns if c not in names and not c.startswith("key of ")][:kept], *[quoted(n) for n in names])
+
+
 def encoders(df: DataFrame, numeric: list[str], categorical: list[str], most: int, hashing: bool) -> list[Encoder]:
     """One encoder a column. Beyond `most` categories a column is hashed, or refused."""
     out = [Encoder(n) for n in numeric]

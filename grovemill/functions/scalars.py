@@ -57,11 +57,16 @@ def poisson_count(uniform: str, rate: float, most: int = 127) -> str:
     return f"(case {' '.join(cases)} else {k} end)"
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def number(name: str) -> Column:
     """A numeric column as double; null is NaN."""
-    return F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(float("nan")))
+    return F.coalesce(quoted(name).cast("double"), F.lit(float("nan")))
 
 
 def category(name: str) -> Column:
     """A categorical column as string; null is the empty string."""
-    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+    return F.coalesce(quoted(name).cast("string"), F.lit(""))

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemill.functions.encoders import Encoder
+from grovemill.functions.encoders import Encoder, encode_all
 from grovemill.functions.losses import Loss, loss_named
+from grovemill.functions.scalars import quoted
 from grovemill.operators.binning import CategoryBins, NumericBins
 from grovemill.plans.trees import Feature, Flat, Node, Tree, codes
 
@@ -31,6 +32,12 @@ def described(features: list[Feature], encoders: list[Encoder]) -> list[dict]:
     ]
 
 
+def others(df: DataFrame, *outputs: str | None) -> list[Column]:
+    """The columns of df from the struct row, without those that the outputs replace."""
+    new = {o.lower() for o in outputs if o}
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in new]
+
+
 class Ensemble:
     """features, and the encoder of each; trees over their bins."""
 
@@ -39,12 +46,11 @@ class Ensemble:
     trees: list[Tree]
 
     def encoded(self, df: DataFrame) -> DataFrame:
-        for j, e in enumerate(self.encoders):
-            df = e.encode(df, f"x_{j}_")
-        return df
+        """row, a struct of df's columns, so that no name of theirs meets one of ours, and the encoded features x_0, x_1, ..."""
+        return encode_all(df, self.encoders, [F.struct(*[quoted(c) for c in df.columns]).alias("row")])
 
     def tree_column(self, tree: Tree, value: Callable[[Node], float]) -> Column:
-        return tree.on_values(self.features, lambda n: F.lit(float(value(n))), lambda j: F.col(f"x_{j}_"))
+        return tree.on_values(self.features, lambda n: F.lit(float(value(n))), lambda j: F.col(f"x_{j}"))
 
     def walked(self, trees: list[Tree], combine: Callable[[np.ndarray], np.ndarray], kind: str, value: Callable[[Node], float] | None = None) -> Column:
         """combine(values of trees by rows) over Arrow batches of the encoded columns."""
@@ -56,7 +62,7 @@ class Ensemble:
                 bins = codes(features, [p.to_numpy(np.float64) for p in part])
                 yield pd.Series(list(combine(np.stack([f.value[f.walk(bins)] for f in flats]))))
 
-        return score(*[F.coalesce(F.col(f"x_{j}_"), F.lit(float("nan"))) for j in range(len(features))])
+        return score(*[F.coalesce(F.col(f"x_{j}"), F.lit(float("nan"))) for j in range(len(features))])
 
     def importance(self) -> list[tuple[str, float]]:
         """Features by what their splits took from the impurity, over all trees; ties in the order of features."""
@@ -117,15 +123,19 @@ class BoostedTrees(Ensemble):
         return BoostedTrees(features, encoders, trees, loss_named(meta["loss"]), meta["initial"], meta["shrinkage"], meta["train_deviance"], meta["validation_deviance"], meta["best"])
 
     def transform(self, df: DataFrame, output: str = "prediction", raw: str | None = None, best_only: bool = False) -> DataFrame:
-        """df with the prediction, and if wanted the raw sum. Without state, so also for streams."""
-        trees, columns = self.trees[: self.best] if best_only else self.trees, df.columns
+        """df with the prediction, and if wanted the raw sum. Without state, so also for streams.
+
+        Columns of df that have the names of the outputs, in any case, are replaced; all others stay as they are. Ensembles
+        of up to EXPRESSION_NODES nodes are scored by expressions, larger ones over Arrow batches, with equal results.
+        """
+        trees = self.trees[: self.best] if best_only else self.trees
         start, step = self.initial, self.shrinkage
         if sum(len(t.nodes) for t in trees) <= EXPRESSION_NODES:
             total = sum((self.tree_column(t, lambda n: n.prediction) * step for t in trees), F.lit(start))
         else:
             total = self.walked(trees, lambda v: start + step * v.sum(axis=0), "double")
-        out = self.encoded(df).withColumn("raw_", total)
-        return out.select(*columns, *([F.col("raw_").alias(raw)] if raw else []), self.loss.mean("raw_").alias(output))
+        out = self.encoded(df).select("row", total.alias("raw"))
+        return out.select(*others(df, output, raw), *([F.col("raw").alias(raw)] if raw else []), self.loss.mean("raw").alias(output))
 
     def history(self, spark: SparkSession) -> DataFrame:
         rows = [(i, d, self.validation_deviance[i] if self.validation_deviance else None) for i, d in enumerate(self.train_deviance)]
@@ -153,28 +163,28 @@ class RandomForest(Ensemble):
         return [int(t.nodes[1].weight) for t in self.trees]
 
     def values(self, df: DataFrame, output: str = "values") -> DataFrame:
-        """df with the array of the trees' predictions."""
+        """df with the array of the trees' predictions, in place of a column of that name."""
         if sum(len(t.nodes) for t in self.trees) <= EXPRESSION_NODES:
             every = F.array(*[self.tree_column(t, lambda n: n.prediction) for t in self.trees])
         else:
             every = self.walked(self.trees, lambda v: v.T, "array<double>")
-        return self.encoded(df).withColumn(output, every).select(*df.columns, output)
+        return self.encoded(df).select(*others(df, output), every.alias(output))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Regression: df with mean and variance. Classification: df with votes, an array of (class, share) from the largest
-        share down, the lower class first, and prediction, the first of them."""
-        own = self.values(df, "values_")
+        share down, the lower class first, and prediction, the first of them. Columns of df with these names are replaced."""
+        own = self.values(df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *[quoted(e.name) for e in self.encoders]), "values")
         if not self.classes:
             mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / len(self.trees)
-            m = mean(F.col("values_"))
-            return own.select(*df.columns, m.alias("mean"), (mean(F.transform("values_", lambda v: v * v)) - m * m).alias("variance"))
+            m = mean(F.col("values"))
+            return own.select(*others(df, "mean", "variance"), m.alias("mean"), (mean(F.transform("values", lambda v: v * v)) - m * m).alias("variance"))
 
         def share_of(k: int) -> Column:
-            return F.struct((-F.size(F.filter("values_", lambda v: v == k)) / len(self.trees)).alias("order"), F.lit(k).alias("class"))
+            return F.struct((-F.size(F.filter("values", lambda v: v == k)) / len(self.trees)).alias("order"), F.lit(k).alias("class"))
 
         share = [share_of(k) for k in range(self.classes)]
         votes = F.transform(F.filter(F.array_sort(F.array(*share)), lambda s: s["order"] < 0), lambda s: F.struct(s["class"].alias("class"), (-s["order"]).alias("share")))
-        return own.withColumn("votes", votes).select(*df.columns, "votes", F.col("votes")[0]["class"].alias("prediction"))
+        return own.select("row", votes.alias("votes")).select(*others(df, "votes", "prediction"), "votes", F.col("votes")[0]["class"].alias("prediction"))
 
 
 def register(spark: SparkSession, name: str, model: BoostedTrees) -> None:
