@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemill.errors import CardinalityOverLimit, InvalidCategory
+from grovemill.functions.scalars import key_uniform
 from grovemill.operators.summary import FeatureSummary, LabelSummary, summarize
 
 #: Bins of a feature at most.
@@ -33,6 +34,8 @@ class BinningOptions:
     most_categories: int = 256
     hash_categories: bool = True
     sample: int = 5000
+    #: A finder of the caller's own, in place of `kind`.
+    finder: BinFinder | None = None
 
 
 @dataclass(frozen=True)
@@ -183,13 +186,15 @@ def segment(kind: str, x: np.ndarray, y: np.ndarray, most: int, has_missing: boo
 
 @dataclass(frozen=True)
 class Segmenting:
-    """Bins from a sample of about `sample` rows. Which rows is decided by `order`, a column, or by chance with the seed."""
+    """Bins from a sample of about `sample` rows: by a hash of the integer column `key`, so the same rows however the table is
+    partitioned; without a key by chance with the seed, which depends on partitions."""
 
     kind: str
     sample: int = 5000
     seed: int = 1
     exact: bool = False
     truncate_labels: bool = False
+    key: str | None = None
 
     def find(self, df, label, features, categorical, most, cardinality=None):
         own, of = summarize(df, label, features, cardinality)
@@ -198,25 +203,26 @@ class Segmenting:
         numeric = [f for f in features if f not in categorical]
         out: dict[str, Bins] = {f: CategoryBins(int(of[f].most or 0) + 1) for f in features if f in categorical}
         if numeric:
-            part = df if own.total <= self.sample else df.sample(False, self.sample / own.total, self.seed)
+            share = self.sample / max(own.total, 1)
+            part = df if share >= 1 else df.sample(False, share, self.seed) if self.key is None else df.where(F.expr(key_uniform(self.key, self.seed, 501)) < share)
             # At most about `sample` rows: bounded by the option.
             rows = part.select(F.col(label).cast("double"), *[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in numeric]).collect()
             table = np.array([tuple(r) for r in rows], float).reshape(len(rows), 1 + len(numeric))
             y = np.trunc(table[:, 0]) if self.truncate_labels else table[:, 0]
             for j, f in enumerate(numeric, 1):
                 fine = ~np.isnan(table[:, j]) & ~np.isnan(y)
-                order = np.argsort(table[fine, j], kind="stable")
+                order = np.lexsort((y[fine], table[fine, j]))
                 out[f] = segment(self.kind, table[fine, j][order], y[fine][order], most, of[f].has_nan, cardinality or 0, self.exact)
         return own, {f: out[f] for f in features}
 
 
 FINDERS = {
-    Discretization.EQUAL_WIDTH: lambda sample, seed: EqualWidth(),
-    Discretization.EQUAL_FREQUENCY: lambda sample, seed: Segmenting("size", sample, seed),
-    Discretization.MIN_ENTROPY: lambda sample, seed: Segmenting("entropy", sample, seed),
-    Discretization.MIN_VARIANCE: lambda sample, seed: Segmenting("variance", sample, seed),
+    Discretization.EQUAL_WIDTH: lambda sample, seed, key: EqualWidth(),
+    Discretization.EQUAL_FREQUENCY: lambda sample, seed, key: Segmenting("size", sample, seed, key=key),
+    Discretization.MIN_ENTROPY: lambda sample, seed, key: Segmenting("entropy", sample, seed, key=key),
+    Discretization.MIN_VARIANCE: lambda sample, seed, key: Segmenting("variance", sample, seed, key=key),
 }
 
 
-def finder(options: BinningOptions, seed: int = 1) -> BinFinder:
-    return FINDERS[Discretization(options.kind)](options.sample, seed)
+def finder(options: BinningOptions, seed: int = 1, key: str | None = None) -> BinFinder:
+    return options.finder or FINDERS[Discretization(options.kind)](options.sample, seed, key)

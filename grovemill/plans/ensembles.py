@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovemill.errors import InvalidLabel
-from grovemill.functions.encoders import Encoder, dictionary, distinct_values, encoders
+from grovemill.functions.encoders import Encoder, dictionary, distinct_values, encode_all, encoders
 from grovemill.functions.losses import Loss, loss_named
-from grovemill.functions.scalars import number
+from grovemill.functions.scalars import number, quoted
 from grovemill.operators.binning import WIDEST, BinningOptions, finder
 from grovemill.operators.discretize import bin_column
 from grovemill.operators.sampling import bag_count, is_training
@@ -24,7 +24,8 @@ from grovemill.plans.trees import Feature, Tree
 
 @dataclass(frozen=True)
 class BoostOptions:
-    """max_depth counts the root, so 3 is two levels of splits. Predictions are written anew every `stash_every` trees."""
+    """max_depth counts the root, so 3 is two levels of splits. Predictions are written anew every `stash_every` trees. mtry,
+    max_splits and subtree_weight are those of GrowOptions; a node's mtry features are drawn anew in each tree."""
 
     trees: int = 100
     max_depth: int = 3
@@ -40,6 +41,9 @@ class BoostOptions:
     engine: str = "arrow"
     seed: int = 1
     binning: BinningOptions = field(default_factory=BinningOptions)
+    mtry: int | None = None
+    max_splits: int = 1024
+    subtree_weight: float = 0
 
     def __post_init__(self) -> None:
         if self.trees < 0 or self.stash_every < 1 or not 0 < self.training <= 1 or self.bag_rate <= 0:
@@ -58,6 +62,7 @@ class ForestOptions:
     bag_rate: float = 1.0
     bag_replace: bool = True
     subtree_weight: float = 0
+    max_splits: int = 1024
     engine: str = "arrow"
     seed: int = 1
     binning: BinningOptions = field(default_factory=BinningOptions)
@@ -76,7 +81,8 @@ class Prepared:
 def prepare(df: DataFrame, label: str, features: list[str], categorical: set[str], binning: BinningOptions, cardinality: int | None, stash: Stash, key: str | None = None, seed: int = 1) -> Prepared:
     """Encode, find bins over all rows, and write label and bin ids. A categorical label is numbered in order of its values.
 
-    key: an integer column that names rows; without one they are numbered as they are written.
+    key: an integer column that names rows, for bags, the validation split and the sample of bins. Without one a row is named
+    by a hash of its label and features and a number among its equals, which takes one more shuffle.
     """
     numeric = [f for f in features if f not in categorical]
     by = {e.name: e for e in encoders(df, numeric, [f for f in features if f in categorical], binning.most_categories, binning.hash_categories)}
@@ -85,15 +91,17 @@ def prepare(df: DataFrame, label: str, features: list[str], categorical: set[str
     if label in categorical:
         values = distinct_values(df, [label], binning.most_categories)[label]
         y = Encoder(label, dictionary(values), unseen="error").column()
-    encoded = df
-    for j, e in enumerate(own):
-        encoded = e.encode(encoded, f"x_{j}_")
-    names = [f"x_{j}_" for j in range(len(features))]
-    encoded = encoded.select((F.col(key).cast("bigint") if key else F.monotonically_increasing_id()).alias("key"), y.alias("y"), *names)
+    names = [f"x_{j}" for j in range(len(features))]
+    encoded = encode_all(df, own, [y.alias("y"), *([quoted(key).cast("bigint").alias("key")] if key else [])], names)
+    if not key:
+        # Equal rows are counted, then numbered: the key of a row is the same however the table is partitioned.
+        counted = encoded.groupBy("y", *names).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        encoded = counted.select("y", F.xxhash64("y", *names, "copy").alias("key"), *names)
+    encoded = encoded.select("key", "y", *names)
     encoded = stash.keep(encoded)
     if encoded.isEmpty():
         raise ValueError("there are no rows to train from")
-    summary, bins = finder(binning, seed).find(encoded, "y", names, {f"x_{j}_" for j, f in enumerate(features) if f in categorical}, binning.most_bins, cardinality)
+    summary, bins = finder(binning, seed, "key").find(encoded, "y", names, {f"x_{j}" for j, f in enumerate(features) if f in categorical}, binning.most_bins, cardinality)
     validate_label(summary, cardinality)
     if wide := [f for f, b in zip(features, bins.values(), strict=True) if b.cardinality > WIDEST]:
         raise ValueError(f"more than {WIDEST} bins: {wide}")
@@ -104,15 +112,20 @@ def prepare(df: DataFrame, label: str, features: list[str], categorical: set[str
 
 
 def initial_value(rows: DataFrame, loss: Loss) -> float:
-    return float(rows.select("y", F.lit(1.0).alias("w")).agg(loss.initial().alias("v")).first()["v"])
+    return loss.initial_of(rows.select("y", F.lit(1.0).alias("w")))
 
 
 def refined(tree: Tree, rows: DataFrame, features: list[Feature], loss: Loss) -> None:
-    """Every leaf's prediction from its own rows in the bag: y, f (before this tree), w_0. One aggregate; a row a leaf returns."""
-    leaf = tree.on_bins(features, lambda n: F.lit(n.id)).alias("leaf")
-    for r in rows.select(leaf, "y", "f", F.col("w_0").alias("w")).where("w > 0").groupBy("leaf").agg(loss.estimate().alias("v")).collect():
-        if r["v"] is not None:
-            tree.nodes[r["leaf"]].prediction = float(r["v"])
+    """Every node's prediction from the rows in the bag that pass through it: y, f (before this tree), w_0."""
+    above: dict[int, list[int]] = {1: [1]}
+    for n in sorted(tree.nodes.values(), key=lambda n: n.depth):
+        for c in n.split.targets() if n.split else []:
+            above[c] = [*above[n.id], c]
+    path = tree.on_bins(features, lambda n: F.array(*[F.lit(i) for i in above[n.id]])).alias("path")
+    passed = rows.select(path, "y", "f", F.col("w_0").alias("w")).where("w > 0").select(F.explode("path").alias("node"), "y", "f", "w")
+    for node, value in loss.estimates_of(passed).items():
+        if value is not None:
+            tree.nodes[node].prediction = float(value)
 
 
 def deviances(rows: DataFrame, loss: Loss) -> dict[bool, float]:
@@ -142,11 +155,11 @@ def boost(df: DataFrame, label: str, features: list[str], categorical: set[str]
                 model.validation_deviance.append(found[False])
 
         note(deviances(state, loss))
-        grown = GrowOptions(max_depth=o.max_depth, min_split=o.min_split, categories=o.categories, engine=o.engine, seed=o.seed)
+        grown = GrowOptions(mtry=o.mtry, max_depth=o.max_depth, min_split=o.min_split, categories=o.categories, max_splits=o.max_splits, subtree_weight=o.subtree_weight, engine=o.engine, seed=o.seed)
         for i in range(o.trees):
             bag = state.where("training").withColumn("w_0", bag_count("key", i, o.bag_rate, o.bag_replace, o.seed).cast("double"))
             gradient = bag.withColumn("y", loss.gradient())
-            tree = grow(gradient, p.features, grown)[0]
+            tree = grow(gradient, p.features, replace(grown, seed=o.seed + i) if o.mtry else grown)[0]
             if o.refine and loss.refinable:
                 refined(tree, bag, p.features, loss)
             model.trees.append(tree)
@@ -180,9 +193,10 @@ def forest(df: DataFrame, label: str, features: list[str], categorical: set[str]
         if o.classes and p.label.rest:
             raise InvalidLabel("labels beyond the classes")
         bags: dict[str, Column] = {f"w_{t}": bag_count("key", t, o.bag_rate, o.bag_replace, o.seed).cast("double") for t in range(o.trees)}
-        rows = p.rows.withColumns(bags).persist(StorageLevel.MEMORY_AND_DISK)
-        grown = GrowOptions(o.classes, o.mtry, o.max_depth, o.min_split, o.categories, subtree_weight=o.subtree_weight, engine=o.engine, seed=o.seed)
-        trees = grow(rows, p.features, grown, o.trees)
+        # Bags are hashes, computed in each pass: only bins and keys are held.
+        rows = p.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        grown = GrowOptions(o.classes, o.mtry, o.max_depth, o.min_split, o.categories, o.max_splits, o.subtree_weight, engine=o.engine, seed=o.seed)
+        trees = grow(rows.withColumns(bags), p.features, grown, o.trees)
         rows.unpersist()
         return RandomForest(p.features, p.encoders, trees, o.classes)
     finally:

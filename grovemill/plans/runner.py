@@ -56,6 +56,10 @@ class Config:
     pauseDuration: int = 0
 
 
+#: Rows that verbose runs show.
+PEEK = 50
+
+
 def options_of(c: Config) -> BoostOptions:
     binning = BinningOptions(Discretization(c.discType), c.maxNumericBins, c.maxCatCardinality, c.useFeatureHashingOnCat, c.maxSampleSizeForDisc)
     return BoostOptions(c.numTrees, c.maxTreeDepth, c.minSplitSize, c.lossFunction, c.catSplitType, c.baggingRate, c.bagWithReplacement, c.shrinkage, c.fineTuneTerminalNodes, c.fracTraining, c.predCheckpointInterval, binning=binning)
@@ -73,6 +77,8 @@ def run(spark: SparkSession, c: Config, factory: Callable[[BoostedTrees], object
         time.sleep(c.pauseDuration)
     df = read(spark, c.inputPath, c.inputFormat, Delimited(c.delimiter, c.escapeStr, c.quoteStr, c.headerExists), schema, c.repartitionSize)
     r = roles(df, c.labelColIndex, c.catColIndices, c.colsToIgnoreIndices)
+    if c.verbose:
+        told.status("first rows:\n" + "\n".join(map(str, df.take(PEEK))))
     told.status(f"label {r.label}, features {r.features}, categories {sorted(r.categorical)}")
     model = boost(df, r.label, r.features, r.categorical, options_of(c), notifiee=told)
     model.save(spark, c.outputPath)

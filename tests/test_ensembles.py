@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovemill.errors import CardinalityOverLimit, InvalidLabel
+from grovemill.functions import encoders as encoders_module
 from grovemill.functions.losses import LOSSES, loss_named
-from grovemill.operators.binning import BinningOptions, Discretization
+from grovemill.operators.binning import BinningOptions, Discretization, EqualWidth, NumericBins
 from grovemill.plans import model as models
 from grovemill.plans.ensembles import BoostOptions, ForestOptions, boost, forest
 from grovemill.plans.model import load, register
@@ -62,8 +63,8 @@ def test_scoring_ways_agree_and_models_are_saved(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "EXPRESSION_NODES", 0)
     assert np.allclose([r.prediction for r in again.transform(df).orderBy("key").collect()], want)
     register(spark, "score_flag", again)
-    again.encoded(df).createOrReplaceTempView("encoded_rows")
-    assert np.allclose([r.p for r in spark.sql("select score_flag(x_0_, x_1_, x_2_) as p from encoded_rows order by key").collect()], want)
+    again.encoded(df).selectExpr("row.key", "x_0", "x_1", "x_2").createOrReplaceTempView("encoded_rows")
+    assert np.allclose([r.p for r in spark.sql("select score_flag(x_0, x_1, x_2) as p from encoded_rows order by key").collect()], want)
 
 
 @pytest.mark.parametrize("loss", ["laplacian", "poisson", "adaboost", "hinge"])
@@ -123,3 +124,61 @@ def test_streams_are_scored(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out").select("key", "prediction").collect())) == sorted(map(tuple, model.transform(df).select("key", "prediction").collect()))
     with pytest.raises(ValueError):
         score_stream(model, df)
+
+
+NAMES = "row raw raw_ x_0 x_1 x_0_ x_1_ values values_ votes k_ v_ copies copy key_ f training w_0 b_0 path node g order".split()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_scoring_keeps_columns_of_any_name(spark, monkeypatch, few):
+    df = table(spark, 120)
+    boosted = boost(df, "y", ["a", "c"], {"c"}, BoostOptions(trees=2, shrinkage=0.5, binning=BINS), key="key")
+    voting = forest(df, "flag", ["a", "c"], {"c"}, ForestOptions(trees=2, classes=2, max_depth=3, binning=BINS), key="key")
+    mean = forest(df, "y", ["a", "c"], {"c"}, ForestOptions(trees=2, max_depth=3, binning=BINS), key="key")
+    if not few:
+        monkeypatch.setattr(models, "EXPRESSION_NODES", 0)
+        monkeypatch.setattr(encoders_module, "LITERALS", 0)
+    own = [F.lit(f"{n} of the caller").alias(n) for n in [*NAMES, "a.b"]]
+    wide = df.select("*", *own, F.lit(-1).alias("Prediction"), F.lit(-1).alias("mean"), F.lit(-1).alias("variance"), F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    for model, outputs in ((boosted, {"prediction"}), (voting, {"prediction", "votes"}), (mean, {"mean", "variance"})):
+        out, plain = model.transform(wide), {r.key: r for r in model.transform(df).collect()}
+        assert [c for c in out.columns if c not in outputs] == [c for c in wide.columns if c.lower() not in outputs]
+        for r in out.collect():
+            assert all(r[o] == plain[r.key][o] for o in outputs)
+            assert all(r[n] == f"{n} of the caller" for n in [*NAMES, "a.b"] if n not in outputs) and r["map"] == {"k": 1}
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    df = table(spark, 300)
+    df = df.unionByName(df.where("key < 40"))
+    binning = BinningOptions(Discretization.EQUAL_FREQUENCY, most_bins=12, sample=100)
+    found = []
+    for n, key in ((2, None), (5, None), (2, "key"), (5, "key")):
+        model = boost(df.repartition(n, "b"), "y", ["a", "b", "c"], {"c"}, BoostOptions(trees=2, shrinkage=0.5, binning=binning), key=key)
+        found.append((np.round(model.train_deviance, 9).tolist(), [f.bins for f in model.features], [t.shape() for t in model.trees]))
+    assert found[0] == found[1] and found[2] == found[3]
+
+
+def test_every_node_of_a_path_is_estimated_anew(spark):
+    df = table(spark, 300)
+    model = boost(df, "flag", ["a", "c"], {"c"}, BoostOptions(trees=1, shrinkage=1.0, loss="logloss", bag_rate=1.0, training=1.0, binning=BINS), key="key")
+    y = np.array([r.flag for r in df.collect()])
+    p = y.mean()
+    assert model.trees[0].nodes[1].prediction == pytest.approx((y.sum() - p * len(y)) / (p * len(y) * (1 - p)), abs=1e-9)
+    leaf = model.trees[0].leaves()[0]
+    assert abs(leaf.prediction) > abs(model.trees[0].nodes[1].prediction)
+
+
+def test_subtrees_feature_subsets_and_own_bins_in_boosting(spark):
+    class Halves:
+        def find(self, df, label, features, categorical, most, cardinality=None):
+            own, bins = EqualWidth().find(df, label, features, categorical, most, cardinality)
+            return own, {f: NumericBins((5.0,), True) if f == "x_0" else b for f, b in bins.items()}
+
+    df = table(spark, 200)
+    binning = BinningOptions(Discretization.EQUAL_WIDTH, most_bins=16, finder=Halves())
+    plain, small = (boost(df, "y", ["a", "b", "c"], {"c"}, BoostOptions(trees=2, max_depth=4, shrinkage=0.5, binning=binning, subtree_weight=w, max_splits=s), key="key") for w, s in ((0, 1024), (60, 2)))
+    assert plain.features[0].bins == NumericBins((5.0,), True)
+    assert np.allclose(plain.train_deviance, small.train_deviance) and [t.shape() for t in plain.trees] == [t.shape() for t in small.trees]
+    few = boost(df, "y", ["a", "b", "c"], {"c"}, BoostOptions(trees=2, shrinkage=0.5, binning=BINS, mtry=1), key="key")
+    assert few.train_deviance[-1] < few.train_deviance[0]
