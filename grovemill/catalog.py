@@ -194,6 +194,9 @@ def loss_query(name: str, what: str):
         loss = loss_named(name)
         if what in ("gradient", "mean"):
             return df.select("key", F.round(loss.gradient() if what == "gradient" else loss.mean(), 6).cast("double").alias("value"))
+        if name == "laplacian" and what != "deviance":
+            value = loss.initial_of(df) if what == "init" else loss.estimates_of(df.withColumn("node", F.lit(1)))[1]
+            return spark.createDataFrame([(round(value, 6),)], "value double")
         own: dict[str, Callable[[], Column]] = {"init": loss.initial, "deviance": loss.deviance, "node_estimate": loss.estimate}
         return df.agg(F.round(own[what]() / (1e6 if name == "gaussian" and what == "deviance" else 1), 6).alias("value"))
 
@@ -419,9 +422,54 @@ def forest_mean_var(spark, sf):
     return out.select(F.expr(KEY).alias("key"), F.round("mean", 9).alias("mean"), F.round("variance", 9).alias("variance"))
 
 
-@query("SELECT * FROM (VALUES ('l_quantity', 600.0::DOUBLE), ('l_returnflag', 270.0::DOUBLE)) t(feature, importance)")
-def topk_importance(spark, sf):
-    return RandomForest(*fixed_features(), TREES).importance_frame(spark)
+def sql_pure_variance(s: str) -> str:
+    square, mean = f"({s}2 / {s}0)", f"({s}1 / {s}0)"
+    v = f"({square} - {mean} * {mean})"
+    return f"(CASE WHEN {s}0 > 0 THEN CASE WHEN {v} <= 1e-12 * greatest(1, {square}) THEN 0 ELSE {v} END ELSE 0 END)"
+
+
+def sql_tree(t: str, rows: str, depth: int, least: float = 2) -> str:
+    """Chained tables of a regression tree over rows (y, w, b0 to b4): {t}_n1, {t}_n2, ... are rows by level with their path
+    from the root; {t}_nodes has every node."""
+    out, sums = [f"{t}_n1 AS (SELECT *, '' AS path FROM ({rows}) q)"], ", ".join(f"sum(s{k}) OVER v AS l{k}, sum(s{k}) OVER (PARTITION BY path, feature) AS t{k}" for k in range(3))
+    nodes = []
+    for d in range(1, depth + 1):
+        long = " UNION ALL ".join(f"SELECT path, {j} AS feature, b{j} AS bin, y, w FROM {t}_n{d}" for j in range(5))
+        out.append(f"{t}_h{d} AS (SELECT path, feature, bin, sum(w) AS s0, sum(w * y) AS s1, sum(w * y * y) AS s2 FROM ({long}) q WHERE w > 0 GROUP BY ALL)")
+        out.append(f"{t}_t{d} AS (SELECT path, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2 FROM {t}_h{d} WHERE feature = 0 GROUP BY path)")
+        node = f"SELECT path, {d} AS depth, s0 AS weight, s1 / s0 AS prediction, {sql_pure_variance('s')} AS impurity"
+        if d == depth:
+            nodes.append(f"{node}, NULL AS feature, NULL AS after FROM {t}_t{d}")
+            break
+        out.append(f"{t}_o{d} AS (SELECT *, CASE WHEN feature < 3 THEN bin ELSE s1 / s0 END AS place FROM {t}_h{d})")
+        out.append(f"{t}_c{d} AS (SELECT *, t0 - l0 AS r0, t1 - l1 AS r1, t2 - l2 AS r2 FROM (SELECT path, feature, bin, count(*) OVER v AS nth, {sums} FROM {t}_o{d} WINDOW v AS (PARTITION BY path, feature ORDER BY place, bin ROWS UNBOUNDED PRECEDING)) q)")
+        value = f"(l0 * {sql_pure_variance('l')} + r0 * {sql_pure_variance('r')}) / t0"
+        out.append(f"{t}_x{d} AS (SELECT path, feature, bin, nth, {value} AS after, {sql_pure_variance('t')} AS whole, t0 FROM {t}_c{d} WHERE l0 > 0 AND r0 > 0 AND (feature > 2 OR bin < 7))")
+        out.append(f"{t}_b{d} AS (SELECT * FROM {t}_x{d} WHERE after < whole AND t0 >= {least} QUALIFY row_number() OVER (PARTITION BY path ORDER BY after, feature, nth) = 1)")
+        out.append(f"{t}_l{d} AS (SELECT b.path, b.feature, any_value(b.bin) AS cut, list(c.bin) AS lefts FROM {t}_b{d} b JOIN {t}_c{d} c ON c.path = b.path AND c.feature = b.feature AND c.nth <= b.nth GROUP BY b.path, b.feature)")
+        goes = "CASE WHEN CASE WHEN l.feature < 3 THEN [b0, b1, b2][l.feature + 1] <= l.cut ELSE list_contains(l.lefts, [b3, b4][l.feature - 2]) END THEN 'L' ELSE 'R' END"
+        out.append(f"{t}_n{d + 1} AS (SELECT n.* EXCLUDE (path), n.path || {goes} AS path FROM {t}_n{d} n JOIN {t}_l{d} l ON n.path = l.path)")
+        nodes.append(f"{node}, b.feature, b.after FROM {t}_t{d} LEFT JOIN (SELECT path, feature, after FROM {t}_b{d}) b USING (path)")
+    out.append(f"{t}_nodes AS ({' UNION ALL '.join(nodes)})")
+    return ", ".join(out)
+
+
+NODE_SQL = f"path, depth::INT AS depth, weight::DOUBLE AS weight, round(prediction, 6) AS prediction, round(impurity, 4) AS impurity, CASE feature {' '.join(f'WHEN {j} THEN {n!r}' for j, n in enumerate(FEATURES))} END AS feature"
+_IMPORTANCE = "SELECT name AS feature, round(coalesce(sum((impurity - after) * weight), 0), 2) AS importance FROM (VALUES " + ", ".join(f"({j}, '{n}')" for j, n in enumerate(FEATURES)) + ") f(j, name) LEFT JOIN ({}) n ON n.feature = f.j GROUP BY name"
+
+
+def placed_nodes(tree: Tree) -> list[tuple]:
+    """Of each node: its path from the root by left and right, depth, weight, prediction, impurity, and the split's feature."""
+    out, work = [], [(1, "")]
+    while work:
+        i, path = work.pop()
+        n = tree.nodes[i]
+        out.append((path, n.depth, float(n.weight), round(n.prediction, 6), round(float(n.impurity), 4), FEATURES[n.split.feature] if n.split else None))
+        work += [(c, path + "LR"[k]) for k, c in enumerate(sorted(set(n.split.targets())))] if n.split else []
+    return out
+
+
+NODE_SCHEMA = "path string, depth int, weight double, prediction double, impurity double, feature string"
 
 
 @query(
@@ -434,11 +482,10 @@ def tree_fit_stump(spark, sf):
     return spark.createDataFrame([(n.id, n.weight, round(n.prediction, 6)) for n in tree.nodes.values()], "node int, weight double, prediction double")
 
 
-@query()
+@query(f"{_BINNED}, {sql_tree('q', 'SELECT y, 1 AS w, b0, b1, b2, b3, b4 FROM b', 3)} SELECT {NODE_SQL} FROM q_nodes")
 def tree_fit_depth3(spark, sf):
     rows, features = binned(spark, sf)
-    tree = grow(rows, features, GrowOptions(max_depth=3))[0]
-    return spark.createDataFrame(tree.rows(), Tree.SCHEMA)
+    return spark.createDataFrame(placed_nodes(grow(rows, features, GrowOptions(max_depth=3))[0]), NODE_SCHEMA)
 
 
 @query(
@@ -452,40 +499,66 @@ def gbt_round1(spark, sf):
     return model.transform(df).select("key", F.round("prediction", 6).alias("prediction"))
 
 
-def trained(spark: SparkSession, sf: str, trees: int = 5) -> BoostedTrees:
-    df = items(spark, sf).withColumn("key", F.expr(KEY))
-    return boost(df, "l_extendedprice", FEATURES, {"l_returnflag", "l_linestatus"}, BoostOptions(trees=trees, shrinkage=0.3, binning=BinningOptions(Discretization.EQUAL_WIDTH)), key="key")
+def sql_uniform(key: str, seed: int, stream: int) -> str:
+    start, prime = (seed * 69069 + stream * 362437 + 12345) % 2147483647, 2147483647
+    one = f"(({key} % {prime} * 48271 + {start}) % {prime})"
+    return f"({one} * ({one} + {(start * 31 + 7) % prime}) % {prime} * 16807 % {prime} / {prime}.0::DOUBLE)"
+
+
+EIGHT = BinningOptions(Discretization.EQUAL_WIDTH, most_bins=8)
+#: Two rounds of boosting by stumps: predictions before each tree, and after both.
+_ROUNDS = f"{_BINNED}, f0 AS (SELECT *, y AS label, u < 0.8 AS training, avg(y) FILTER (u < 0.8) OVER () AS f FROM (SELECT *, {sql_uniform('key', 1, 0)} AS u FROM b) q)" + "".join(
+    ", " + sql_tree(f"g{i}", f"SELECT * EXCLUDE (y), label - f AS y, (training AND {sql_uniform('key', 1, i)} <= 0.5)::INT AS w FROM f{i - 1}", 2, 10)
+    + f", f{i} AS (SELECT r.* EXCLUDE (y, w, path, f), r.label AS y, r.f + 0.3 * n.prediction AS f FROM g{i}_n2 r JOIN g{i}_nodes n ON n.path = r.path)"
+    for i in (1, 2)
+)
+_DEVIANCES = _ROUNDS + ", d AS (" + " UNION ALL ".join(f"SELECT {i} AS trees, avg((label - f) * (label - f)) FILTER (training) AS t, avg((label - f) * (label - f)) FILTER (NOT training) AS v FROM f{i}" for i in range(3)) + ")"
+
+
+def trained(spark: SparkSession, sf: str) -> BoostedTrees:
+    df = items(spark, sf).withColumn("key", F.expr(KEY)).withColumn("y", F.expr(LABEL).cast("double"))
+    return boost(df, "y", FEATURES, {"l_returnflag", "l_linestatus"}, BoostOptions(trees=2, max_depth=2, shrinkage=0.3, binning=EIGHT), key="key")
 
 
-@query()
+@query(f"{_DEVIANCES} SELECT trees, round(t, 4) AS train_deviance, round(v, 4) AS validation_deviance FROM d")
 def gbt_deviance_history(spark, sf):
-    return trained(spark, sf).history(spark)
+    return trained(spark, sf).history(spark).select("trees", *[F.round(c, 4).alias(c) for c in ("train_deviance", "validation_deviance")])
 
 
-@query()
+@query(f"{_DEVIANCES} SELECT arg_min(trees, v)::INT AS trees FROM d WHERE trees > 0")
 def optimal_tree_count(spark, sf):
-    return spark.createDataFrame([(trained(spark, sf, 3).best,)], "trees int")
+    return spark.createDataFrame([(trained(spark, sf).best,)], "trees int")
 
 
-@query()
+@query(f"{_ROUNDS} {_IMPORTANCE.format('SELECT * FROM g1_nodes UNION ALL SELECT * FROM g2_nodes')}")
 def var_importance(spark, sf):
-    return trained(spark, sf, 3).importance_frame(spark)
+    return trained(spark, sf).importance_frame(spark).select("feature", F.round("importance", 2).alias("importance"))
 
 
-@query()
+_CDF = "cdf AS (SELECT k, sum(exp(-0.7) * pow(0.7, k) / factorial(k::INT)) OVER (ORDER BY k) AS c FROM range(20) t(k))"
+_FOREST = f"{_BINNED}, {_CDF}" + "".join(
+    f", u{t} AS (SELECT b.*, {sql_uniform('key', 1, t + 1)} AS u FROM b), " + sql_tree(f"p{t}", f"SELECT *, (SELECT count(*) FROM cdf WHERE c < u AND c < 1 - 1e-5) AS w FROM u{t}", 3) for t in (0, 1)
+)
+
+
+def planted(spark: SparkSession, sf: str) -> RandomForest:
+    df = items(spark, sf).withColumn("key", F.expr(KEY)).withColumn("y", F.expr(LABEL).cast("double"))
+    return forest(df, "y", FEATURES, {"l_returnflag", "l_linestatus"}, ForestOptions(trees=2, max_depth=3, bag_rate=0.7, binning=EIGHT), key="key")
+
+
+@query(_FOREST + " " + " UNION ALL ".join(f"SELECT {t}::INT AS tree, {NODE_SQL} FROM p{t}_nodes" for t in (0, 1)))
 def forest_fit(spark, sf):
-    df = items(spark, sf).withColumn("key", F.expr(KEY)).withColumn("y", F.expr("case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end"))
-    model = forest(df, "y", ["l_quantity", "l_extendedprice", "l_tax", "l_linestatus"], {"l_linestatus"}, ForestOptions(trees=3, classes=3, mtry=2, max_depth=4), key="key")
-    return model.nodes(spark).select("tree", "id", "depth", "prediction", "weight")
+    rows = [(t, *row) for t, tree in enumerate(planted(spark, sf).trees) for row in placed_nodes(tree)]
+    return spark.createDataFrame(rows, "tree int, " + NODE_SCHEMA)
 
 
-# Sampling and order statistics ----------------------------------------------------------------------------------------
+@query(f"{_FOREST} {_IMPORTANCE.format('SELECT * FROM p0_nodes UNION ALL SELECT * FROM p1_nodes')} ORDER BY importance DESC LIMIT 2")
+def topk_importance(spark, sf):
+    """The two features that took most from the impurity."""
+    return planted(spark, sf).importance_frame(spark).select("feature", F.round("importance", 2).alias("importance")).orderBy(F.desc("importance")).limit(2)
 
 
-def sql_uniform(key: str, seed: int, stream: int) -> str:
-    start, prime = (seed * 69069 + stream * 362437 + 12345) % 2147483647, 2147483647
-    one = f"(({key} % {prime} * 48271 + {start}) % {prime})"
-    return f"({one} * ({one} + {(start * 31 + 7) % prime}) % {prime} * 16807 % {prime} / {prime}.0::DOUBLE)"
+# Sampling and order statistics ----------------------------------------------------------------------------------------
 
 
 @query(f"SELECT {KEY} AS key, ({sql_uniform(KEY, 1, 1)} <= 0.7)::INT AS bag FROM lineitem")
@@ -510,7 +583,7 @@ def kth_element(spark, sf):
 
 @query("SELECT list_sort(list(o_totalprice))[count(*) // 2 + 1] AS value FROM orders")
 def median_upper(spark, sf):
-    return read(spark, sf, "orders").agg(upper_median("o_totalprice").alias("value"))
+    return upper_median(read(spark, sf, "orders"), "o_totalprice")
 
 
 @query(f"SELECT o_orderkey FROM orders ORDER BY {sql_uniform('o_orderkey', 1, 977)}, o_orderkey LIMIT 100")

@@ -35,11 +35,14 @@ class Log:
 
 
 class Stash:
-    """Parquet tables below spark.checkpoint.dir: they cut lineage, outlive lost executors, and are removed by name."""
+    """Parquet tables below spark.checkpoint.dir: they cut lineage, outlive lost executors, and are removed by name. If the
+    folder is not set, a local master gets a temporary one; on a cluster that is an error."""
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         root = root or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="grovemill-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.folder, self.count = spark, f"{root.rstrip('/')}/state-{uuid.uuid4().hex}", 0
