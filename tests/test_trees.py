@@ -124,7 +124,7 @@ def test_histograms_beyond_dense_arrays_and_with_many_features(spark, monkeypatc
     monkeypatch.setattr(histogram, "GATHER", 3)
     assert sorted(map(tuple, arrow_histogram(df, [tree], features, batch, dense=1).collect())) == want
     for h in (whole, plain):
-        plan = h._jdf.queryExecution().executedPlan().toString()
+        plan = h._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[-1]
         # Read from below: partial sums by all four keys come before the first exchange, which is by the same keys.
         below = plan[plan.index("Exchange hashpartitioning(tree") :]
         assert below.startswith("Exchange hashpartitioning(tree") and all(k in below.split("\n")[0] for k in ("tree", "node", "feature", "bin")) and "partial_sum" in below.split("\n")[1]
