@@ -99,13 +99,14 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[x for c in own for x in (c.isNull(), c)])
 
 
-def hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame | None:
-    """sizes: keys and n, the rows of each. The hot keys and into how many parts each is cut; None if no key is hot.
+def hot_keys(sizes: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame | None:
+    """sizes: keys and n, the rows of each. The hot keys and into how many parts each is cut; None if no key is hot. A key
+    of no more than `rows` rows (HOT_ROWS if not given) never is.
 
     At most HOT rows, since each has more than a HOT-th of all: so they are broadcast at any size of the input.
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    most = max(HOT_ROWS, total // HOT)
+    most = max(rows or HOT_ROWS, total // HOT)
     hot = materialize(sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts_")))
     return None if hot.isEmpty() else hot
 
@@ -125,16 +126,16 @@ def join_hot(many: DataFrame, few: DataFrame, keys: list[str], sizes: DataFrame,
     return left.join(right, [*keys, "part_"], how).drop("part_")
 
 
-def prefix_sums(df: DataFrame, by: list[str], coarse: str, exact: dict[str, Column], sums: dict[str, str], order: list[Column], tie: str | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, by: list[str], coarse: str, exact: dict[str, Column], sums: dict[str, str], order: list[Column], tie: str | None = None, rows: int | None = None) -> DataFrame:
     """df with columns of sums (new name: column), each over the rows of `by` that come before a row in the order.
 
     The sums are two-level: over the groups of `coarse`, an integer that the order must follow, and within each. A hot group is
     cut by the columns of exact, which the order follows inside it; rows that agree in all of them, if there is a column
-    tie of distinct numbers, must be equal in the order, and are cut by it. by and coarse are never null.
+    tie of distinct numbers, must be equal in the order, and are cut by it. A group of up to `rows` rows is not hot. by and coarse are never null.
     """
     totals = [F.sum(c).alias(f"sum_{n}") for n, c in sums.items()]
     groups = materialize(df.groupBy(*by, coarse).agg(F.count("*").alias("n"), *totals))
-    hot, cut = hot_keys(groups.select(*by, coarse, "n"), [*by, coarse]), []
+    hot, cut = hot_keys(groups.select(*by, coarse, "n"), [*by, coarse], rows), []
     if hot is not None:
         cold = F.col("parts_").isNull()
         df = df.join(F.broadcast(hot), [*by, coarse], "left").withColumns({f"exact_{n}": F.when(~cold, c) for n, c in exact.items()})

@@ -26,6 +26,8 @@ from grovemill.llm.tokens import default_vocabulary, shared_encoder
 WINDOW, UNIT, END_ID = 2048, 8, 1
 #: Ranked rows that meet in one task, about.
 RANKED = 200_000
+#: Groups of a bin at least, so a common bin is dealt evenly in small tables too.
+LEAST_SALTS = 64
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -197,10 +199,10 @@ def pack(documents: DataFrame, vocabulary: str | None = None, window: int = WIND
     found = plan(counts, units)
 
     # Rank within the bin: groups of about `ranked` rows by hash. One that equal pieces make hot is cut further.
-    salts = max(8, -(-sum(counts.values()) // ranked))
+    salts = max(LEAST_SALTS, -(-sum(counts.values()) // ranked))
     same = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     salted = cut.withColumn("hash", F.xxhash64(*same)).withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
-    ranks = prefix_sums(salted, ["bin"], "salt", {"hash": F.col("hash")}, {"rank": "one"}, [F.col("hash"), *map(F.col, same)], "row")
+    ranks = prefix_sums(salted, ["bin"], "salt", {"hash": F.col("hash")}, {"rank": "one"}, [F.col("hash"), *map(F.col, same)], "row", 2 * ranked)
 
     slots = sorted(found.slots())
     key = np.array([(k << 44) + first for k, first, *_ in slots], np.int64)

@@ -122,7 +122,6 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, dept
         p = 1 / (1 + np.exp(-score))
         g, h = y - p, np.maximum(p * (1 - p), 1e-12)
         work = [(0, np.arange(n), -np.inf, np.inf)]
-        free = 1
         while work:
             node, own, low, high = work.pop()
             gs, hs = g[own].sum(), h[own].sum()
@@ -155,7 +154,6 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, dept
             goes, middle = code[own, j] <= k, (lv + rv) / 2
             bounds = {1: ((low, middle), (middle, high)), -1: ((middle, high), (low, middle)), 0: ((low, high), (low, high))}[monotone[j]]
             work += [(2 * node + 1, own[goes], *bounds[0]), (2 * node + 2, own[~goes], *bounds[1])]
-            free += 2
     return out
 
 

@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from grovemill.llm import common
 from grovemill.llm.nnls_packing import nnls, pack, padded_length, plan
 from grovemill.llm.tokens import default_vocabulary
 from tests.llm.helpers import documents, empty
@@ -81,11 +80,10 @@ def test_small_window_and_ranks_over_many_groups(spark):
     assert padded < 1.1 * filled
 
 
-@pytest.mark.parametrize("hot", [1, 512])
-def test_one_repeated_row(spark, monkeypatch, hot):
-    monkeypatch.setattr(common, "HOT_ROWS", hot)
+@pytest.mark.parametrize("ranked", [1, 200_000])
+def test_one_repeated_row(spark, ranked):
     rows = [(None, None)] * 700 + [(3, "one two three")] * 40
-    padded, filled = check(rows, pack(spark.createDataFrame(rows, "doc_id bigint, text string"), window=128, unit=4).collect(), 128)
+    padded, filled = check(rows, pack(spark.createDataFrame(rows, "doc_id bigint, text string"), window=128, unit=4, ranked=ranked).collect(), 128)
     assert padded < 1.5 * filled + 128
 
 
