@@ -14,6 +14,7 @@ from grovemill.operators.binning import BinningOptions, Discretization, EqualWid
 from grovemill.operators.discretize import discretize
 from grovemill.operators.histogram import arrow_histogram, sql_histogram
 from grovemill.operators.sampling import bag_count, is_training, kth, reservoir, upper_median
+from grovemill.operators.impurity import Gini
 from grovemill.operators.split import best_splits, candidates
 from grovemill.operators.summary import summary_frame
 from grovemill.plans.ensembles import BoostOptions, ForestOptions, boost, forest
@@ -337,17 +338,36 @@ def _entropy(p: str) -> str:
     return "(" + " + ".join(f"CASE WHEN {p}{k} > 0 THEN -{p}{k} * log2({p}{k} / {w}) ELSE 0 END" for k in range(3)) + ")"
 
 
-@query(
-    f"{_BINNED}, k AS ({SQL['hist_class'][len(_BINNED) :]}), c AS (SELECT feature, bin, "
-    + ", ".join(f"sum(s{k}) OVER w AS l{k}, sum(s{k}) OVER (PARTITION BY feature) - sum(s{k}) OVER w AS r{k}" for k in range(3))
-    + f" FROM k WINDOW w AS (PARTITION BY feature ORDER BY bin)) SELECT feature, bin, round(({_entropy('l')} + {_entropy('r')}) / (l0 + l1 + l2 + r0 + r1 + r2), 9) AS impurity FROM c WHERE bin < 7 AND r0 + r1 + r2 > 0"
-)
-def split_class_entropy(spark, sf):
+def _gini(p: str) -> str:
+    w = f"({p}0 + {p}1 + {p}2)"
+    return f"({w} - " + " - ".join(f"{p}{k} * {p}{k} / {w}" for k in range(3)) + ")"
+
+
+def _split_class(weighted: Callable[[str], str]) -> str:
+    """weighted: the SQL of a side's impurity times its weight."""
+    return (
+        f"{_BINNED}, k AS ({SQL['hist_class'][len(_BINNED) :]}), c AS (SELECT feature, bin, "
+        + ", ".join(f"sum(s{k}) OVER w AS l{k}, sum(s{k}) OVER (PARTITION BY feature) - sum(s{k}) OVER w AS r{k}" for k in range(3))
+        + f" FROM k WINDOW w AS (PARTITION BY feature ORDER BY bin)) SELECT feature, bin, round(({weighted('l')} + {weighted('r')}) / (l0 + l1 + l2 + r0 + r1 + r2), 9) AS impurity FROM c WHERE bin < 7 AND r0 + r1 + r2 > 0"
+    )
+
+
+def _class_candidates(spark, sf, impurity=None):
     rows, features = binned(spark, sf, "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end", FEATURES[:3])
-    c = candidates(sql_histogram(rows, [root()], features, [(0, 1)], 3), features, 3, "ordered")
+    c = candidates(sql_histogram(rows, [root()], features, [(0, 1)], 3), features, 3, "ordered", impurity=impurity)
     return c.where("fine").select("feature", "bin", F.round("impurity", 9).alias("impurity"))
 
 
+@query(_split_class(_entropy))
+def split_class_entropy(spark, sf):
+    return _class_candidates(spark, sf)
+
+
+@query(_split_class(_gini))
+def split_class_gini(spark, sf):
+    return _class_candidates(spark, sf, Gini())
+
+
 _BEST = _candidates("feature < 3", "bin") + " SELECT feature, bin, impurity, left_weight, right_weight FROM x ORDER BY impurity, feature, nth LIMIT 1"
 
 

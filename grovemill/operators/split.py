@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from grovemill.functions.scalars import key_uniform
 from grovemill.operators.histogram import stats_names
+from grovemill.operators.impurity import Impurity, usual
 from grovemill.plans.trees import MULTIWAY, NUMERIC, SUBSET, Feature
 
 ORDERED, RANDOM = "ordered", "random"
-#: Impurities up to this, relative to the mean square, are zero: what is left of a pure node by rounding.
-PURE = 1e-12
-
 
 @dataclass
 class Found:
@@ -41,15 +39,10 @@ def weight_of(s: np.ndarray, classes: int) -> np.ndarray:
     return s.sum(axis=-1) if classes else s[..., 0]
 
 
-def impurity_of(s: np.ndarray, classes: int) -> np.ndarray:
-    """Entropy in bits, or variance."""
-    w = np.maximum(weight_of(s, classes), 1e-300)
-    if classes:
-        p = s / w[..., None]
-        return -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=-1)
-    square, mean = s[..., 2] / w, s[..., 1] / w
-    v = square - mean * mean
-    return np.where(v <= PURE * np.maximum(1, square), 0.0, v)
+def impurity_of(s: np.ndarray, classes: int, impurity: Impurity | None = None) -> np.ndarray:
+    """By entropy or variance, if no other impurity is given; 0 without weight."""
+    live = weight_of(s, classes) > 0
+    return np.where(live, (impurity or usual(classes)).values(np.where(live[..., None], s, 1.0)), 0.0)
 
 
 def prediction_of(s: np.ndarray, classes: int) -> tuple[float, float]:
@@ -84,10 +77,10 @@ def hashed_order(bins: np.ndarray, seed: int, tree: int, node: int) -> np.ndarra
     return uniform_of((tree * 1_048_573 + node) * 65_536 + bins.astype(np.int64), seed, 1)
 
 
-def best_local(tables: dict[int, np.ndarray], features: list[Feature], classes: int, categories: str, seed: int = 1, tree: int = 0, node: int = 1) -> Found:
+def best_local(tables: dict[int, np.ndarray], features: list[Feature], classes: int, categories: str, seed: int = 1, tree: int = 0, node: int = 1, impurity: Impurity | None = None) -> Found:
     """tables: of each feature an array (bins, stats)."""
     totals = next(iter(tables.values())).sum(axis=0)
-    out, whole, total = Found(totals), float(impurity_of(totals, classes)), float(weight_of(totals, classes))
+    out, whole, total = Found(totals), float(impurity_of(totals, classes, impurity)), float(weight_of(totals, classes))
     best = whole
     for j, table in sorted(tables.items()):
         f, w = features[j], weight_of(table, classes)
@@ -95,7 +88,7 @@ def best_local(tables: dict[int, np.ndarray], features: list[Feature], classes:
         lost = table[f.bins.missing] if f.bins.missing is not None else nothing
         bins = np.flatnonzero(w[: f.bins.regular] > 0) if not f.categorical else np.flatnonzero(w > 0)
         if f.categorical and categories == MULTIWAY:
-            value = float((w[bins] * impurity_of(table[bins], classes)).sum() / total)
+            value = float((w[bins] * impurity_of(table[bins], classes, impurity)).sum() / total)
             if len(bins) > 1 and value < best:
                 best = value
                 out.feature, out.kind, out.cut, out.impurity, out.parts = j, MULTIWAY, 0, value, None
@@ -110,7 +103,7 @@ def best_local(tables: dict[int, np.ndarray], features: list[Feature], classes:
             continue
         wl, wr, wn = weight_of(left, classes), weight_of(right, classes), float(weight_of(lost, classes))
         wr[-1], right[-1] = 0.0, 0.0
-        value = (wl * impurity_of(left, classes) + wr * impurity_of(right, classes) + wn * impurity_of(lost, classes)) / total
+        value = (wl * impurity_of(left, classes, impurity) + wr * impurity_of(right, classes, impurity) + wn * impurity_of(lost, classes, impurity)) / total
         fine = (wl > 0).astype(int) + (wr > 0) + (wn > 0) >= 2
         if not f.categorical:
             fine &= bins < f.bins.regular - 1
@@ -133,14 +126,8 @@ def weight_col(s: list[Column], classes: int) -> Column:
     return sum(s[1:], s[0]) if classes else s[0]
 
 
-def impurity_col(s: list[Column], classes: int) -> Column:
-    w = weight_col(s, classes)
-    if classes:
-        part = [F.when(c > 0, -(c / w) * F.log2(c / w)).otherwise(0.0) for c in s]
-        return F.when(w > 0, sum(part[1:], part[0])).otherwise(0.0)
-    square, mean = s[2] / w, s[1] / w
-    v = square - mean * mean
-    return F.when(w > 0, F.when(v <= PURE * F.greatest(F.lit(1.0), square), 0.0).otherwise(v)).otherwise(0.0)
+def impurity_col(s: list[Column], classes: int, impurity: Impurity | None = None) -> Column:
+    return F.when(weight_col(s, classes) > 0, (impurity or usual(classes)).column(s)).otherwise(0.0)
 
 
 def mean_col(s: list[Column], classes: int) -> Column:
@@ -161,7 +148,7 @@ def with_features(hist: DataFrame, features: list[Feature], categories: str) ->
     return hist.join(F.broadcast(hist.sparkSession.createDataFrame(rows, "feature int, kind int, regular int, lost int")), "feature")
 
 
-def candidates(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1) -> DataFrame:
+def candidates(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1, impurity: Impurity | None = None) -> DataFrame:
     """All candidates: tree, node, feature, kind, bin, nth, impurity, and sums t (node), l, r and n (missing).
 
     Window sums run within a node's feature, so tasks are as many as nodes times features, and a window is a feature's bins.
@@ -183,37 +170,37 @@ def candidates(hist: DataFrame, features: list[Feature], classes: int, categorie
         *[F.sum(c).over(whole).alias(f"t{k}") for k, c in enumerate(s)],
         *[F.sum(F.when(F.col("gone"), c).otherwise(0.0)).over(whole).alias(f"n{k}") for k, c in enumerate(s)],
         *[F.sum(F.when(F.col("gone"), 0.0).otherwise(c)).over(running).alias(f"l{k}") for k, c in enumerate(s)],
-        F.sum(weight_col(s, classes) * impurity_col(s, classes)).over(whole).alias("spread"),
+        F.sum(weight_col(s, classes) * impurity_col(s, classes, impurity)).over(whole).alias("spread"),
     )
     side = lambda p: [F.col(f"{p}{k}") for k in range(len(s))]
     last = F.col("nth") == F.col("filled")
     h = h.withColumns({f"r{k}": F.when(last, 0.0).otherwise(F.col(f"t{k}") - F.col(f"n{k}") - F.col(f"l{k}")) for k in range(len(s))})
     weights = [weight_col(side(p), classes) for p in "lrn"]
     two = sum((F.when(w > 0, 1).otherwise(0) for w in weights), F.lit(0)) >= 2
-    cut = sum((w * impurity_col(side(p), classes) for p, w in zip("lrn", weights, strict=True)), F.lit(0.0)) / weight_col(side("t"), classes)
-    impurity = F.when(F.col("kind") == 2, F.col("spread") / weight_col(side("t"), classes)).otherwise(cut)
+    cut = sum((w * impurity_col(side(p), classes, impurity) for p, w in zip("lrn", weights, strict=True)), F.lit(0.0)) / weight_col(side("t"), classes)
+    lowered = F.when(F.col("kind") == 2, F.col("spread") / weight_col(side("t"), classes)).otherwise(cut)
     fine = F.when(F.col("kind") == 2, (F.col("filled") > 1) & last).when(F.col("kind") == 1, two).otherwise(two & (F.col("bin") < F.col("regular") - 1))
-    return h.withColumn("impurity", impurity).withColumn("fine", fine & ~F.col("gone"))
+    return h.withColumn("impurity", lowered).withColumn("fine", fine & ~F.col("gone"))
 
 
-def best_splits(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1) -> DataFrame:
+def best_splits(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1, impurity: Impurity | None = None) -> DataFrame:
     """One row a node: totals (array), best (struct) or null. Only a node's best row reaches the driver."""
-    c = candidates(hist, features, classes, categories, seed)
+    c = candidates(hist, features, classes, categories, seed, impurity)
     n = len(stats_names(classes))
     side = lambda p: F.array(*[F.col(f"{p}{k}") for k in range(n)]).alias(p)
-    worth = F.col("fine") & (F.col("impurity") < impurity_col([F.col(f"t{k}") for k in range(n)], classes))
+    worth = F.col("fine") & (F.col("impurity") < impurity_col([F.col(f"t{k}") for k in range(n)], classes, impurity))
     row = F.struct("impurity", "feature", "nth", "kind", "bin", side("l"), side("r"), side("n"))
     return c.groupBy("tree", "node").agg(F.min_by(side("t"), "feature").alias("totals"), F.min(F.when(worth, row)).alias("best"))
 
 
-def search(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1) -> dict[tuple[int, int], Found]:
+def search(hist: DataFrame, features: list[Feature], classes: int, categories: str, seed: int = 1, impurity: Impurity | None = None) -> dict[tuple[int, int], Found]:
     """Found of every (tree, node) of the histogram. What comes to the driver: a row a node, and the bins of a node's best
     categorical feature."""
     # The bins of categories are asked for once the best splits are known.
     again = any(f.categorical for f in features)
     hist = hist.persist() if again else hist
     try:
-        best = best_splits(hist, features, classes, categories, seed)
+        best = best_splits(hist, features, classes, categories, seed, impurity)
         out: dict[tuple[int, int], Found] = {}
         wanted = []
         for r in best.collect():

@@ -15,9 +15,10 @@ from grovemill.functions.scalars import number, quoted
 from grovemill.operators.binning import WIDEST, BinningOptions, finder
 from grovemill.operators.discretize import bin_column
 from grovemill.operators.sampling import bag_count, is_training
+from grovemill.operators.impurity import Impurity
 from grovemill.operators.summary import LabelSummary, validate_label
 from grovemill.plans.grow import GrowOptions, grow
-from grovemill.plans.model import BoostedTrees, RandomForest
+from grovemill.plans.model import BoostedTrees, RandomForest, TreeWriter
 from grovemill.plans.state import Log, Notifiee, Stash
 from grovemill.plans.trees import Feature, Tree
 
@@ -25,7 +26,7 @@ from grovemill.plans.trees import Feature, Tree
 @dataclass(frozen=True)
 class BoostOptions:
     """max_depth counts the root, so 3 is two levels of splits. Predictions are written anew every `stash_every` trees. mtry,
-    max_splits and subtree_weight are those of GrowOptions; a node's mtry features are drawn anew in each tree."""
+    max_splits, subtree_weight and impurity are those of GrowOptions; a node's mtry features are drawn anew in each tree."""
 
     trees: int = 100
     max_depth: int = 3
@@ -44,6 +45,7 @@ class BoostOptions:
     mtry: int | None = None
     max_splits: int = 1024
     subtree_weight: float = 0
+    impurity: Impurity | None = None
 
     def __post_init__(self) -> None:
         if self.trees < 0 or self.stash_every < 1 or not 0 < self.training <= 1 or self.bag_rate <= 0:
@@ -66,6 +68,7 @@ class ForestOptions:
     engine: str = "arrow"
     seed: int = 1
     binning: BinningOptions = field(default_factory=BinningOptions)
+    impurity: Impurity | None = None
 
 
 @dataclass
@@ -76,6 +79,7 @@ class Prepared:
     features: list[Feature]
     encoders: list[Encoder]
     label: LabelSummary
+    named: Encoder
 
 
 def prepare(df: DataFrame, label: str, features: list[str], categorical: set[str], binning: BinningOptions, cardinality: int | None, stash: Stash, key: str | None = None, seed: int = 1) -> Prepared:
@@ -87,10 +91,11 @@ def prepare(df: DataFrame, label: str, features: list[str], categorical: set[str
     numeric = [f for f in features if f not in categorical]
     by = {e.name: e for e in encoders(df, numeric, [f for f in features if f in categorical], binning.most_categories, binning.hash_categories)}
     own = [by[f] for f in features]
-    y = number(label)
+    y, named = number(label), Encoder(label)
     if label in categorical:
         values = distinct_values(df, [label], binning.most_categories)[label]
-        y = Encoder(label, dictionary(values), unseen="error").column()
+        named = Encoder(label, dictionary(values), unseen="error")
+        y = named.column()
     names = [f"x_{j}" for j in range(len(features))]
     encoded = encode_all(df, own, [y.alias("y"), *([quoted(key).cast("bigint").alias("key")] if key else [])], names)
     if not key:
@@ -108,7 +113,7 @@ def prepare(df: DataFrame, label: str, features: list[str], categorical: set[str
     shaped = [Feature(f, bins[n]) for f, n in zip(features, names, strict=True)]
     ids = [bin_column(F.col(n), f.bins).cast("smallint" if f.bins.cardinality <= 32_767 else "int").alias(f"b_{j}") for j, (n, f) in enumerate(zip(names, shaped, strict=True))]
     rows = stash.keep(encoded.select("key", "y", *ids))
-    return Prepared(rows, shaped, own, summary)
+    return Prepared(rows, shaped, own, summary, named)
 
 
 def initial_value(rows: DataFrame, loss: Loss) -> float:
@@ -133,8 +138,9 @@ def deviances(rows: DataFrame, loss: Loss) -> dict[bool, float]:
     return {r["training"]: r["v"] for r in rows.select("training", "y", "f", F.lit(1.0).alias("w")).groupBy("training").agg(loss.deviance().alias("v")).collect()}
 
 
-def boost(df: DataFrame, label: str, features: list[str], categorical: set[str] | None = None, options: BoostOptions | None = None, key: str | None = None, notifiee: Notifiee | None = None) -> BoostedTrees:
-    """Gradient boosted trees. A tree takes one pass a level, one for its leaves and one for deviances."""
+def boost(df: DataFrame, label: str, features: list[str], categorical: set[str] | None = None, options: BoostOptions | None = None, key: str | None = None, notifiee: Notifiee | None = None, writer: TreeWriter | None = None) -> BoostedTrees:
+    """Gradient boosted trees. A tree takes one pass a level, one for its leaves and one for deviances. The writer is given
+    each tree once it is final."""
     o, told = options or BoostOptions(), notifiee or Log()
     loss, stash = loss_named(o.loss), Stash(df.sparkSession)
     try:
@@ -147,7 +153,9 @@ def boost(df: DataFrame, label: str, features: list[str], categorical: set[str]
         start = initial_value(base.where("training"), loss)
         rows = base.withColumn("f", F.lit(start)).persist(StorageLevel.MEMORY_AND_DISK)
         state, number_of = rows, None
-        model = BoostedTrees(p.features, p.encoders, [], loss, start, o.shrinkage)
+        model = BoostedTrees(p.features, p.encoders, [], loss, start, o.shrinkage, label=p.named)
+        if writer:
+            writer.begin(model)
 
         def note(found: dict[bool, float]) -> None:
             model.train_deviance.append(found[True])
@@ -155,7 +163,7 @@ def boost(df: DataFrame, label: str, features: list[str], categorical: set[str]
                 model.validation_deviance.append(found[False])
 
         note(deviances(state, loss))
-        grown = GrowOptions(mtry=o.mtry, max_depth=o.max_depth, min_split=o.min_split, categories=o.categories, max_splits=o.max_splits, subtree_weight=o.subtree_weight, engine=o.engine, seed=o.seed)
+        grown = GrowOptions(mtry=o.mtry, max_depth=o.max_depth, min_split=o.min_split, categories=o.categories, max_splits=o.max_splits, subtree_weight=o.subtree_weight, engine=o.engine, seed=o.seed, impurity=o.impurity)
         for i in range(o.trees):
             bag = state.where("training").withColumn("w_0", bag_count("key", i, o.bag_rate, o.bag_replace, o.seed).cast("double"))
             gradient = bag.withColumn("y", loss.gradient())
@@ -163,6 +171,8 @@ def boost(df: DataFrame, label: str, features: list[str], categorical: set[str]
             if o.refine and loss.refinable:
                 refined(tree, bag, p.features, loss)
             model.trees.append(tree)
+            if writer:
+                writer.tree(i, tree)
             state = state.withColumn("f", F.col("f") + o.shrinkage * tree.on_bins(p.features, lambda n: F.lit(float(n.prediction))))
             if (i + 1) % o.stash_every == 0 and i + 1 < o.trees:
                 state = stash.keep(state).persist(StorageLevel.MEMORY_AND_DISK)
@@ -177,6 +187,8 @@ def boost(df: DataFrame, label: str, features: list[str], categorical: set[str]
         rows.unpersist()
         own = model.validation_deviance[1:]
         model.best = own.index(min(own)) + 1 if own else len(model.trees)
+        if writer:
+            writer.end(model)
         return model
     except Exception as e:
         told.error(str(e))
@@ -185,8 +197,8 @@ def boost(df: DataFrame, label: str, features: list[str], categorical: set[str]
         stash.drop()
 
 
-def forest(df: DataFrame, label: str, features: list[str], categorical: set[str] | None = None, options: ForestOptions | None = None, key: str | None = None) -> RandomForest:
-    """A random forest: all trees grow together, a pass for each level of all of them."""
+def forest(df: DataFrame, label: str, features: list[str], categorical: set[str] | None = None, options: ForestOptions | None = None, key: str | None = None, writer: TreeWriter | None = None) -> RandomForest:
+    """A random forest: all trees grow together, a pass for each level of all of them. So the writer gets them at the end."""
     o, stash = options or ForestOptions(), Stash(df.sparkSession)
     try:
         p = prepare(df, label, features, set(categorical or ()), o.binning, o.classes or None, stash, key, o.seed)
@@ -195,9 +207,16 @@ def forest(df: DataFrame, label: str, features: list[str], categorical: set[str]
         bags: dict[str, Column] = {f"w_{t}": bag_count("key", t, o.bag_rate, o.bag_replace, o.seed).cast("double") for t in range(o.trees)}
         # Bags are hashes, computed in each pass: only bins and keys are held.
         rows = p.rows.persist(StorageLevel.MEMORY_AND_DISK)
-        grown = GrowOptions(o.classes, o.mtry, o.max_depth, o.min_split, o.categories, o.max_splits, o.subtree_weight, engine=o.engine, seed=o.seed)
-        trees = grow(rows.withColumns(bags), p.features, grown, o.trees)
+        grown = GrowOptions(o.classes, o.mtry, o.max_depth, o.min_split, o.categories, o.max_splits, o.subtree_weight, engine=o.engine, seed=o.seed, impurity=o.impurity)
+        model = RandomForest(p.features, p.encoders, [], o.classes, p.named)
+        if writer:
+            writer.begin(model)
+        model.trees += grow(rows.withColumns(bags), p.features, grown, o.trees)
         rows.unpersist()
-        return RandomForest(p.features, p.encoders, trees, o.classes)
+        if writer:
+            for i, tree in enumerate(model.trees):
+                writer.tree(i, tree)
+            writer.end(model)
+        return model
     finally:
         stash.drop()

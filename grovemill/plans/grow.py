@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemill.operators.histogram import Counter, arrow_histogram, sql_histogram, width
+from grovemill.operators.impurity import Impurity
 from grovemill.operators.split import ORDERED, RANDOM, Found, best_local, impurity_of, prediction_of, search, weight_of
 from grovemill.plans.trees import MULTIWAY, NUMERIC, SUBSET, Feature, Flat, Node, Split, Tree
 
@@ -20,8 +21,8 @@ ENGINES = {"arrow": arrow_histogram, "sql": sql_histogram}
 
 @dataclass(frozen=True)
 class GrowOptions:
-    """classes: 0 for regression by variance, otherwise entropy. mtry: features of a node, None for all. max_depth counts the
-    root as 1. Nodes of subtree_weight or less are grown whole in one task each (0: never), max_subtrees at once."""
+    """classes: 0 for regression. impurity: None for variance or entropy, by classes. mtry: features of a node, None for all.
+    max_depth counts the root as 1. Nodes of subtree_weight or less are grown whole in one task each (0: never), max_subtrees at once."""
 
     classes: int = 0
     mtry: int | None = None
@@ -33,6 +34,7 @@ class GrowOptions:
     max_subtrees: int = 10_000
     engine: str = "arrow"
     seed: int = 1
+    impurity: Impurity | None = None
 
     def __post_init__(self) -> None:
         if self.categories not in (ORDERED, RANDOM, MULTIWAY) or self.engine not in ENGINES:
@@ -50,9 +52,10 @@ class GrowOptions:
         return sorted(np.random.default_rng([self.seed, tree, node]).choice(features, self.mtry, replace=False).tolist())
 
 
-def node_of(i: int, depth: int, stats: np.ndarray, classes: int) -> Node:
-    prediction, addendum = prediction_of(stats, classes)
-    return Node(i, depth, prediction, addendum, float(impurity_of(stats, classes)), float(weight_of(stats, classes)))
+def node_of(i: int, depth: int, stats: np.ndarray, options: GrowOptions) -> Node:
+    c = options.classes
+    prediction, addendum = prediction_of(stats, c)
+    return Node(i, depth, prediction, addendum, float(impurity_of(stats, c, options.impurity)), float(weight_of(stats, c)))
 
 
 def divide(tree: Tree, at: int, found: Found, options: GrowOptions) -> list[Node]:
@@ -64,7 +67,7 @@ def divide(tree: Tree, at: int, found: Found, options: GrowOptions) -> list[Node
         stats = found.parts
     made: list[Node | None] = []
     for s in stats:
-        made.append(node_of(free, node.depth + 1, s, c) if weight_of(s, c) > 0 else None)
+        made.append(node_of(free, node.depth + 1, s, options) if weight_of(s, c) > 0 else None)
         free += made[-1] is not None
     children = [m for m in made if m]
     split = Split(found.feature, found.kind, found.impurity, max(children, key=lambda n: n.weight).id, found.cut)
@@ -93,12 +96,12 @@ def grow_local(bins: np.ndarray, y: np.ndarray, w: np.ndarray, features: list[Fe
         if at == 1:
             if not len(rows):
                 raise ValueError("no row has weight")
-            out.add(node_of(1, 1, block[0, counter.at[0] : counter.at[1]].sum(axis=0), options.classes))
+            out.add(node_of(1, 1, block[0, counter.at[0] : counter.at[1]].sum(axis=0), options))
         node = out.nodes[at]
         if not options.fits(node) or node.depth >= limit:
             continue
         own = {j: block[0, counter.at[j] : counter.at[j + 1]] for j in options.chosen(len(features), tree, at)}
-        found = best_local(own, features, options.classes, options.categories, options.seed, tree, at)
+        found = best_local(own, features, options.classes, options.categories, options.seed, tree, at, options.impurity)
         if found.feature is None:
             continue
         children = divide(out, at, found, options)
@@ -166,13 +169,13 @@ def grow(frame: DataFrame, features: list[Feature], options: GrowOptions, trees:
     while queue:
         batch = [queue.popleft() for _ in range(min(options.max_splits, len(queue)))]
         chosen = None if options.mtry is None or options.mtry >= len(features) else {(t, n): options.chosen(len(features), t, n) for t, n in batch}
-        found = search(histogram(frame, out, features, batch, options.classes, chosen), features, options.classes, options.categories, options.seed)
+        found = search(histogram(frame, out, features, batch, options.classes, chosen), features, options.classes, options.categories, options.seed, options.impurity)
         for t, n in batch:
             own, tree = found.get((t, n)), out[t]
             if own is None:
                 raise ValueError(f"tree {t}: no row has weight")
             if n == 1:
-                tree.nodes[1] = node_of(1, 1, own.totals, options.classes)
+                tree.nodes[1] = node_of(1, 1, own.totals, options)
             if own.feature is None or not options.fits(tree.nodes[n]):
                 continue
             for child in divide(tree, n, own, options):

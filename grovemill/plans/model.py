@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import count, takewhile
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,10 @@ def described(features: list[Feature], encoders: list[Encoder]) -> list[dict]:
     ]
 
 
+def label_of(meta: dict) -> Encoder | None:
+    return Encoder(meta["label"]["name"], meta["label"]["mapping"], unseen="error") if meta.get("label") else None
+
+
 def others(df: DataFrame, *outputs: str | None) -> list[Column]:
     """The columns of df from the struct row, without those that the outputs replace."""
     new = {o.lower() for o in outputs if o}
@@ -39,11 +45,13 @@ def others(df: DataFrame, *outputs: str | None) -> list[Column]:
 
 
 class Ensemble:
-    """features, and the encoder of each; trees over their bins."""
+    """features, and the encoder of each; trees over their bins. label: what the label was called, and the numbers of its
+    values if it was categorical."""
 
     features: list[Feature]
     encoders: list[Encoder]
     trees: list[Tree]
+    label: Encoder | None
 
     def encoded(self, df: DataFrame) -> DataFrame:
         """row, a struct of df's columns, so that no name of theirs meets one of ours, and the encoded features x_0, x_1, ..."""
@@ -84,15 +92,51 @@ class Ensemble:
     def save(self, spark: SparkSession, path: str) -> None:
         """A folder with the nodes as Parquet and everything else as one JSON row."""
         self.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        text = json.dumps({**self.metadata(), "kind": type(self).__name__, "trees": len(self.trees), "features": described(self.features, self.encoders)})
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        self.describe(spark, path)
+
+    def describe(self, spark: SparkSession, path: str, mode: str = "overwrite") -> None:
+        """The JSON row of save."""
+        label = self.label and {"name": self.label.name, "mapping": self.label.mapping}
+        text = json.dumps({**self.metadata(), "kind": type(self).__name__, "trees": len(self.trees), "label": label, "features": described(self.features, self.encoders)})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/metadata")
+
+
+class TreeWriter(Protocol):
+    """Who takes trees as a training run makes them: begin comes with the model before its first tree, end with the whole one."""
+
+    def begin(self, model: Ensemble) -> None: ...
+    def tree(self, number: int, tree: Tree) -> None: ...
+    def end(self, model: Ensemble) -> None: ...
+
+
+class TreeFolder:
+    """Writes each tree below path once it is grown, so what a lost driver had grown stays; `load` reads the folder at any time,
+    with the trees up to the first that is missing. A folder that holds a model is refused."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def begin(self, model: Ensemble) -> None:
+        model.describe(self.spark, self.path, "errorifexists")
+        self.append([])
+
+    def append(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, "tree int, " + Tree.SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/nodes")
+
+    def tree(self, number: int, tree: Tree) -> None:
+        self.append([(number, *row) for row in tree.rows()])
+
+    def end(self, model: Ensemble) -> None:
+        model.describe(self.spark, self.path)
 
 
 def load(spark: SparkSession, path: str) -> Ensemble:
+    """A saved model, or what a TreeFolder holds of one."""
     meta = json.loads(spark.read.text(f"{path}/metadata", wholetext=True).first()[0])
-    rows: dict[int, list] = {t: [] for t in range(meta["trees"])}
-    for r in spark.read.parquet(f"{path}/nodes").collect():
-        rows[r["tree"]].append(r)
+    rows: dict[int, list] = {}
+    for r in spark.read.schema("tree int, " + Tree.SCHEMA).parquet(f"{path}/nodes").collect():
+        rows.setdefault(r["tree"], []).append(r)
+    rows = {t: rows[t] for t in takewhile(rows.__contains__, count())}
     features = [Feature(f["name"], bins_of(f)) for f in meta["features"]]
     encoders = [Encoder(f["name"], f["mapping"], f["buckets"], f["unseen"]) for f in meta["features"]]
     trees = [Tree.of_rows(own) for own in rows.values()]
@@ -114,13 +158,14 @@ class BoostedTrees(Ensemble):
     train_deviance: list[float] = field(default_factory=list)
     validation_deviance: list[float] = field(default_factory=list)
     best: int = 0
+    label: Encoder | None = None
 
     def metadata(self) -> dict:
         return {"loss": self.loss.name, "initial": self.initial, "shrinkage": self.shrinkage, "train_deviance": self.train_deviance, "validation_deviance": self.validation_deviance, "best": self.best}
 
     @staticmethod
     def of(features, encoders, trees, meta) -> BoostedTrees:
-        return BoostedTrees(features, encoders, trees, loss_named(meta["loss"]), meta["initial"], meta["shrinkage"], meta["train_deviance"], meta["validation_deviance"], meta["best"])
+        return BoostedTrees(features, encoders, trees, loss_named(meta["loss"]), meta["initial"], meta["shrinkage"], meta["train_deviance"], meta["validation_deviance"], meta["best"], label_of(meta))
 
     def transform(self, df: DataFrame, output: str = "prediction", raw: str | None = None, best_only: bool = False) -> DataFrame:
         """df with the prediction, and if wanted the raw sum. Without state, so also for streams.
@@ -150,13 +195,14 @@ class RandomForest(Ensemble):
     encoders: list[Encoder]
     trees: list[Tree]
     classes: int = 0
+    label: Encoder | None = None
 
     def metadata(self) -> dict:
         return {"classes": self.classes}
 
     @staticmethod
     def of(features, encoders, trees, meta) -> RandomForest:
-        return RandomForest(features, encoders, trees, meta["classes"])
+        return RandomForest(features, encoders, trees, meta["classes"], label_of(meta))
 
     @property
     def sample_counts(self) -> list[int]:

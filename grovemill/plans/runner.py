@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from grovemill.functions.losses import LOSSES, Loss
 from grovemill.operators.binning import BinningOptions, Discretization
 from grovemill.plans.ensembles import BoostOptions, boost
-from grovemill.plans.model import BoostedTrees
+from grovemill.plans.model import BoostedTrees, TreeWriter
 from grovemill.plans.state import Log, Notifiee
 from grovemill.sources.tables import FORMATS, Delimited, read, roles
 
@@ -65,8 +65,10 @@ def options_of(c: Config) -> BoostOptions:
     return BoostOptions(c.numTrees, c.maxTreeDepth, c.minSplitSize, c.lossFunction, c.catSplitType, c.baggingRate, c.bagWithReplacement, c.shrinkage, c.fineTuneTerminalNodes, c.fracTraining, c.predCheckpointInterval, binning=binning)
 
 
-def run(spark: SparkSession, c: Config, factory: Callable[[BoostedTrees], object] | None = None, notifiee: Notifiee | None = None, schema: StructType | None = None) -> object:
-    """Reads, trains, saves to outputPath, and returns what the factory makes of the model (the model itself without one).
+def run(spark: SparkSession, c: Config, factory: Callable[[BoostedTrees], object] | None = None, notifiee: Notifiee | None = None, schema: StructType | None = None, writer: TreeWriter | None = None) -> object:
+    """Reads, trains, saves to outputPath, and returns what the factory makes of the model (the model itself without one). The model holds
+    what a factory may want: names, types, encoders and bins of features, the label's name and values, deviances, the best
+    number of trees. The writer is given each tree as it comes.
 
     Node ids are found by walking the trees, so idCacheCheckpointInterval has nothing to do; it is accepted.
     """
@@ -80,7 +82,7 @@ def run(spark: SparkSession, c: Config, factory: Callable[[BoostedTrees], object
     if c.verbose:
         told.status("first rows:\n" + "\n".join(map(str, df.take(PEEK))))
     told.status(f"label {r.label}, features {r.features}, categories {sorted(r.categorical)}")
-    model = boost(df, r.label, r.features, r.categorical, options_of(c), notifiee=told)
+    model = boost(df, r.label, r.features, r.categorical, options_of(c), notifiee=told, writer=writer)
     model.save(spark, c.outputPath)
     if c.verbose:
         told.status(model.dump())

@@ -51,7 +51,7 @@ class Node:
     id: int
     depth: int
     prediction: float
-    #: Of a regression the impurity again, of a classification the share of the predicted class.
+    #: Of a regression the variance, of a classification the share of the predicted class.
     addendum: float
     impurity: float
     weight: float

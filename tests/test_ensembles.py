@@ -6,9 +6,10 @@ from grovemill.errors import CardinalityOverLimit, InvalidLabel
 from grovemill.functions import encoders as encoders_module
 from grovemill.functions.losses import LOSSES, loss_named
 from grovemill.operators.binning import BinningOptions, Discretization, EqualWidth, NumericBins
+from grovemill.operators.impurity import Gini
 from grovemill.plans import model as models
 from grovemill.plans.ensembles import BoostOptions, ForestOptions, boost, forest
-from grovemill.plans.model import load, register
+from grovemill.plans.model import TreeFolder, load, register
 from grovemill.plans.runner import Config, options_of, parse, run
 from grovemill.sources.tables import Delimited, read, roles
 from grovemill.streaming.scoring import score_files, score_stream
@@ -182,3 +183,36 @@ def test_subtrees_feature_subsets_and_own_bins_in_boosting(spark):
     assert np.allclose(plain.train_deviance, small.train_deviance) and [t.shape() for t in plain.trees] == [t.shape() for t in small.trees]
     few = boost(df, "y", ["a", "b", "c"], {"c"}, BoostOptions(trees=2, shrinkage=0.5, binning=BINS, mtry=1), key="key")
     assert few.train_deviance[-1] < few.train_deviance[0]
+
+
+def test_trees_are_written_as_they_come(spark, tmp_path):
+    df, path = table(spark, 200), f"file://{tmp_path}/trees"
+
+    class Stops(TreeFolder):
+        """Loses its driver after the second tree."""
+
+        def tree(self, number, tree):
+            super().tree(number, tree)
+            if number == 1:
+                raise KeyboardInterrupt
+
+    options = BoostOptions(trees=3, shrinkage=0.5, training=1.0, binning=BINS)
+    with pytest.raises(KeyboardInterrupt):
+        boost(df, "y", ["a", "b", "c"], {"c"}, options, key="key", writer=Stops(spark, path))
+    left = load(spark, path)
+    whole = boost(df, "y", ["a", "b", "c"], {"c"}, options, key="key", writer=TreeFolder(spark, path + "2"))
+    assert [t.shape() for t in left.trees] == [t.shape() for t in whole.trees[:2]] and left.initial == whole.initial
+    again = load(spark, path + "2")
+    assert [t.shape() for t in again.trees] == [t.shape() for t in whole.trees] and again.train_deviance == whole.train_deviance
+    with pytest.raises(Exception, match="(?i)already exists"):
+        TreeFolder(spark, path).begin(whole)
+    TreeFolder(spark, path + "3").begin(whole)
+    assert load(spark, path + "3").trees == []
+
+
+def test_models_know_their_label(spark, tmp_path):
+    df = table(spark, 200).withColumn("kind", F.when(F.col("flag") == 1, "yes").otherwise("no"))
+    model = forest(df, "kind", ["a", "b"], {"kind"}, ForestOptions(trees=2, classes=2, max_depth=3, impurity=Gini(), binning=BINS), key="key", writer=TreeFolder(spark, f"file://{tmp_path}/f"))
+    assert model.label.name == "kind" and model.label.mapping == {"no": 0, "yes": 1}
+    again = load(spark, f"file://{tmp_path}/f")
+    assert again.label == model.label and [t.shape() for t in again.trees] == [t.shape() for t in model.trees]

@@ -8,6 +8,7 @@ from grovemill.operators.binning import EqualWidth, Segmenting
 from grovemill.operators import histogram, split
 from grovemill.operators.discretize import discretize
 from grovemill.operators.histogram import arrow_histogram, sql_histogram
+from grovemill.operators.impurity import Gini
 from grovemill.plans.grow import GrowOptions, grow, grow_local
 from grovemill.plans.trees import Feature, Flat, Tree, codes
 from tests.fixtures import DATA2, DATA6, frame
@@ -131,3 +132,34 @@ def test_histograms_beyond_dense_arrays_and_with_many_features(spark, monkeypatc
         assert "Exchange" not in below.split("\n", 1)[1]
     monkeypatch.setattr(split, "LITERALS", 0)
     assert grow(df, features, GrowOptions(max_depth=3))[0].shape() == shape
+
+
+class Minority:
+    """The share of rows that are not of the commonest class."""
+
+    def values(self, s):
+        return 1 - s.max(axis=-1) / s.sum(axis=-1)
+
+    def column(self, s):
+        return 1 - F.greatest(*s) / sum(s[1:], s[0])
+
+
+@pytest.mark.parametrize("impurity", [Gini(), Minority()])
+def test_own_impurities_grow_equal_trees_in_every_way(spark, impurity):
+    df, features = binned(spark, DATA2)
+    bins, y, w = arrays(df, features)
+    trees = [grow_local(bins, y, w, features, GrowOptions(classes=4, impurity=impurity))]
+    trees += grow(df, features, GrowOptions(classes=4, impurity=impurity))
+    trees += grow(df, features, GrowOptions(classes=4, impurity=impurity, subtree_weight=10, engine="sql"))
+    assert len({t.shape() for t in trees}) == 1 and len(trees[0].nodes) > 1
+    counts = np.bincount(y.astype(int), minlength=4).astype(float)
+    assert trees[0].nodes[1].impurity == pytest.approx(float(impurity.values(counts)))
+    assert impurity.values(np.array([5.0, 0, 0, 0])) == 0
+
+
+def test_impurities_agree_in_numpy_and_columns(spark):
+    rows = [(3.0, 1.0, 2.0), (4.0, 8.0, 16.0), (0.0, 0.0, 7.0), (0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    for classes, own in ((3, None), (3, Gini()), (0, None)):
+        got = [r[0] for r in df.select(split.impurity_col([F.col(c) for c in "abc"], classes, own)).collect()]
+        assert np.allclose(got, split.impurity_of(np.array(rows), classes, own)) and got[3] == 0
