@@ -157,10 +157,52 @@ def discretize_categorical(spark, sf):
     return discretize(df, bins).groupBy(F.col("b_flag").cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def sql_uniform(key: str, seed: int, stream: int) -> str:
+    start, prime = (seed * 69069 + stream * 362437 + 12345) % 2147483647, 2147483647
+    one = f"(({key} % {prime} * 48271 + {start}) % {prime})"
+    return f"({one} * ({one} + {(start * 31 + 7) % prime}) % {prime} * 16807 % {prime} / {prime}.0::DOUBLE)"
+
+
+#: Of each kind of segmentation: what is summed for a distinct value besides its rows, and the loss of sums n, a and b.
+_SEGMENTS = {
+    "size": ("0", "0", lambda n, a, b: n),
+    "entropy": ("y = 0", "y = 1", lambda n, a, b: " + ".join(f"(CASE WHEN {c} > 0 THEN -({c}) / {n} * ln(({c}) / {n}) ELSE 0 END)" for c in (a, b))),
+    "variance": ("y", "y * y", lambda n, a, b: f"(({b}) / {n} - (({a}) / {n}) * (({a}) / {n}))"),
+}
+
+
+def sql_segments(kind: str, label: str, most: int = 16) -> str:
+    """Segments are halved level by level, from left to right, until there are `most`. A level halves one at least, or is the last.
+
+    A segment's cuts are folded in order with what the last cut that was taken has left: its losses weigh the next ones.
+    """
+    one, two, loss = _SEGMENTS[kind]
+    levels = most - 1
+    cell = "{'c': c, 'l': l, 'r': r, 'x': nx, 'll': 0::DOUBLE, 'rl': whole, 'best': whole}"
+    taken = "{'c': e.c, 'l': e.l, 'r': e.r, 'x': e.x, 'll': e.l, 'rl': e.r, 'best': (s.ll * e.c + s.rl * (n - e.c)) / n}"
+    text = (
+        f"WITH p AS (SELECT {KEY} AS key, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS e, ({label})::DOUBLE AS y FROM lineitem), "
+        f"s AS (SELECT * FROM p WHERE {sql_uniform('key', 1, 501)} < 5000::DOUBLE / greatest((SELECT count(*) FROM lineitem), 1)), "
+        "u AS (SELECT 'l_quantity' AS feature, q AS x, y FROM s UNION ALL SELECT 'l_extendedprice', e, y FROM s), "
+        f"g0 AS (SELECT feature, 0 AS seg, x, count(*)::DOUBLE AS n, sum(({one})::DOUBLE) AS a, sum(({two})::DOUBLE) AS b FROM u GROUP BY ALL)"
+    )
+    for i in range(levels):
+        text += (
+            f", w{i} AS (SELECT feature, seg, x, lead(x) OVER r AS nx, sum(n) OVER (r ROWS UNBOUNDED PRECEDING) AS c, sum(a) OVER (r ROWS UNBOUNDED PRECEDING) AS ca, sum(b) OVER (r ROWS UNBOUNDED PRECEDING) AS cb, "
+            f"sum(n) OVER p AS n, sum(a) OVER p AS a, sum(b) OVER p AS b FROM g{i} WINDOW p AS (PARTITION BY feature, seg), r AS (PARTITION BY feature, seg ORDER BY x)), "
+            f"v{i} AS (SELECT feature, seg, x, nx, n, c, {loss('n', 'a', 'b')} AS whole, {loss('c', 'ca', 'cb')} AS l, CASE WHEN nx IS NOT NULL THEN {loss('(n - c)', '(a - ca)', '(b - cb)')} END AS r FROM w{i}), "
+            f"m{i} AS (SELECT feature, seg, any_value(n) AS n, any_value(whole) AS whole, coalesce(list({cell} ORDER BY x) FILTER (nx IS NOT NULL), []) AS cuts FROM v{i} GROUP BY feature, seg), "
+            "f%d AS (SELECT feature, seg, list_reduce(list_prepend({'c': 0::DOUBLE, 'l': 0::DOUBLE, 'r': 0::DOUBLE, 'x': NULL::DOUBLE, 'll': 0::DOUBLE, 'rl': whole, 'best': whole}, cuts), lambda s, e: CASE WHEN (s.ll * e.c + s.rl * (n - e.c)) / n < s.best THEN %s ELSE s END).x AS cut FROM m%d), " % (i, taken, i)
+            + f"k{i} AS (SELECT feature, seg, CASE WHEN row_number() OVER (PARTITION BY feature, cut IS NULL ORDER BY seg) <= {most} - count(*) OVER (PARTITION BY feature) THEN cut END AS cut FROM f{i}), "
+            f"g{i + 1} AS (SELECT feature, seg * 2 + coalesce(x >= cut, false)::INT AS seg, x, n, a, b FROM g{i} JOIN k{i} USING (feature, seg))"
+        )
+    return text + f" SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY edge) - 2)::INT AS nth, edge FROM (SELECT feature, seg, min(x) AS edge FROM g{levels} GROUP BY feature, seg) z QUALIFY nth >= 0"
+
+
 def segmented(kind: str):
     def run(spark, sf):
-        df = items(spark, sf).withColumn("big", (F.col("l_extendedprice") > 40_000).cast("int"))
-        _, bins = Segmenting(kind).find(df, "big" if kind == "entropy" else "l_linenumber", ["l_quantity", "l_extendedprice"], set(), 16, 2 if kind == "entropy" else None)
+        df = items(spark, sf).withColumn("big", (F.col("l_extendedprice") > 40_000).cast("int")).withColumn("key", F.expr(KEY))
+        _, bins = Segmenting(kind, key="key").find(df, "big" if kind == "entropy" else "l_linenumber", ["l_quantity", "l_extendedprice"], set(), 16, 2 if kind == "entropy" else None)
         return edges_frame(spark, bins)
 
     return run
@@ -168,6 +210,7 @@ def segmented(kind: str):
 
 for _name, _kind in (("bins_equal_frequency", "size"), ("bins_entropy", "entropy"), ("bins_variance", "variance")):
     QUERIES[_name] = segmented(_kind)
+    SQL[_name] = sql_segments(_kind, "l_extendedprice > 40000" if _kind == "entropy" else "l_linenumber")
 
 # Losses ---------------------------------------------------------------------------------------------------------------
 
@@ -519,12 +562,6 @@ def gbt_round1(spark, sf):
     return model.transform(df).select("key", F.round("prediction", 6).alias("prediction"))
 
 
-def sql_uniform(key: str, seed: int, stream: int) -> str:
-    start, prime = (seed * 69069 + stream * 362437 + 12345) % 2147483647, 2147483647
-    one = f"(({key} % {prime} * 48271 + {start}) % {prime})"
-    return f"({one} * ({one} + {(start * 31 + 7) % prime}) % {prime} * 16807 % {prime} / {prime}.0::DOUBLE)"
-
-
 EIGHT = BinningOptions(Discretization.EQUAL_WIDTH, most_bins=8)
 #: Two rounds of boosting by stumps: predictions before each tree, and after both.
 _ROUNDS = f"{_BINNED}, f0 AS (SELECT *, y AS label, u < 0.8 AS training, avg(y) FILTER (u < 0.8) OVER () AS f FROM (SELECT *, {sql_uniform('key', 1, 0)} AS u FROM b) q)" + "".join(
