@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovemill.errors import InvalidLabel
 from grovemill.functions.encoders import Encoder, dictionary, distinct_values, encoders
 from grovemill.functions.losses import LOSSES, loss_named
 from grovemill.functions.scalars import number
 from grovemill.operators.binning import BinningOptions, Discretization, EqualWidth, Segmenting
 from grovemill.operators.discretize import discretize
 from grovemill.operators.histogram import arrow_histogram, sql_histogram
-from grovemill.operators.sampling import bag_count, is_training, kth, reservoir, upper_median
 from grovemill.operators.impurity import Gini
+from grovemill.operators.sampling import bag_count, is_training, kth, reservoir, upper_median
 from grovemill.operators.split import best_splits, candidates
-from grovemill.operators.summary import summary_frame
+from grovemill.operators.summary import summarize, summary_frame, validate_label
 from grovemill.plans.ensembles import BoostOptions, ForestOptions, boost, forest
 from grovemill.plans.grow import GrowOptions, grow
-from grovemill.plans.model import BoostedTrees, RandomForest
+from grovemill.plans.model import BoostedTrees, RandomForest, load
+from grovemill.plans.runner import Config, run
+from grovemill.plans.state import Stash
 from grovemill.plans.trees import NUMERIC, SUBSET, Feature, Node, Split, Tree
+from grovemill.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -648,6 +652,81 @@ def reservoir_sample(spark, sf):
     return reservoir(read(spark, sf, "orders"), 100, "o_orderkey").select("o_orderkey")
 
 
+# The same results by other ways ------------------------------------------------------------------------------------------
+
+
+@query(_candidates("feature >= 3", sql_uniform("(65536 + bin)::BIGINT", 1, 1), valid="true") + " SELECT * FROM x")
+def split_cat_random(spark, sf):
+    """Categories in the order of a hash; the tree is 0 and the node 1."""
+    rows, features = binned(spark, sf)
+    hist = sql_histogram(rows, [root()], features, [(0, 1)])
+    return shown(candidates(hist, features, 0, "random")).where("feature >= 3")
+
+
+@query(SQL["tree_fit_depth3"])
+def tree_fit_subtrees(spark, sf):
+    """Nodes of up to 20 000 rows are grown whole, in a task each."""
+    rows, features = binned(spark, sf)
+    return spark.createDataFrame(placed_nodes(grow(rows, features, GrowOptions(max_depth=3, subtree_weight=20_000))[0]), NODE_SCHEMA)
+
+
+@query(SQL["tree_fit_depth3"])
+def tree_fit_unpivoted(spark, sf):
+    rows, features = binned(spark, sf)
+    return spark.createDataFrame(placed_nodes(grow(rows, features, GrowOptions(max_depth=3, max_splits=1, engine="sql"))[0]), NODE_SCHEMA)
+
+
+@query(SQL["gbt_predict_fixed"])
+def model_saved_and_loaded(spark, sf):
+    stash = Stash(spark)
+    try:
+        BoostedTrees(*fixed_features(), TREES, loss_named("gaussian"), 0.5, 0.1).save(spark, stash.folder)
+        model = load(spark, stash.folder)
+    finally:
+        stash.drop()
+    return model.transform(items(spark, sf)).select(F.expr(KEY).alias("key"), F.round("prediction", 9).alias("prediction"))
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, min({LABEL})::DOUBLE AS least, max(l_linestatus || '\t\"\\') AS mode, round(sum(l_quantity)::DOUBLE, 2) AS quantity FROM lineitem GROUP BY l_returnflag")
+def delimited_scan(spark, sf):
+    """Written as delimited text with quotes, escapes and delimiters in fields, and read again."""
+    stash = Stash(spark)
+    try:
+        df = items(spark, sf).select("l_returnflag", F.expr(LABEL).cast("double").alias("y"), F.concat("l_linestatus", F.lit('\t"\\')).alias("mode"), "l_quantity")
+        df.write.options(sep="\t", header=True).csv(stash.folder)
+        own = tables.read(spark, stash.folder, "csv", tables.Delimited(header=True), partitions=4).groupBy("l_returnflag")
+        found = own.agg(F.count("*").alias("n"), F.min("y").alias("least"), F.max("mode").alias("mode"), F.round(F.sum("l_quantity").cast("double"), 2).alias("quantity"))
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        stash.drop()
+
+
+@query(SQL["gbt_round1"])
+def runner_fit(spark, sf):
+    """The first round again, from delimited text through the runner."""
+    stash = Stash(spark)
+    try:
+        items(spark, sf).select(F.expr(LABEL).alias("y"), *FEATURES[:3]).write.options(sep="\t", header=True).csv(f"{stash.folder}/in")
+        config = Config(f"{stash.folder}/in", f"{stash.folder}/out", headerExists=True, fracTraining=1.0, numTrees=1, maxTreeDepth=2, baggingRate=1.0, shrinkage=0.1, discType="equal_width", maxNumericBins=8)
+        model = run(spark, config)
+    finally:
+        stash.drop()
+    return model.transform(items(spark, sf)).select(F.expr(KEY).alias("key"), F.round("prediction", 6).alias("prediction"))
+
+
+@query("SELECT k::INT AS classes, (SELECT count(DISTINCT l_linenumber) = k AND min(l_linenumber) = 1 AND max(l_linenumber) = k FROM lineitem) AS accepted FROM range(6, 9) t(k)")
+def label_rules(spark, sf):
+    """Labels are fine if they are all of the classes and nothing else."""
+    out = []
+    for k in (6, 7, 8):
+        try:
+            validate_label(summarize(items(spark, sf).withColumn("y", F.col("l_linenumber") - 1), "y", [], k)[0], k)
+            out.append((k, True))
+        except InvalidLabel:
+            out.append((k, False))
+    return spark.createDataFrame(out, "classes int, accepted boolean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

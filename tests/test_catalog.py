@@ -5,7 +5,7 @@ import pytest
 from grovemill import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["project_label_features", "cat_hash_bucket", "bins_equal_width_nan", "bins_equal_frequency", "bins_entropy", "bins_variance", "discretize_numeric", "loss_gradient_hinge", "loss_node_estimate_logloss", "hist_partials", "hist_grouping_sets", "split_numeric_nan", "split_cat_ordered", "split_class_entropy", "split_class_gini", "forest_vote", "bag_poisson", "tree_fit_depth3", "gbt_deviance_history", "var_importance", "forest_fit", "topk_importance", "median_upper", "kth_element", "loss_node_estimate_laplacian"]
+SOME = ["project_label_features", "cat_hash_bucket", "bins_equal_width_nan", "bins_equal_frequency", "bins_entropy", "bins_variance", "discretize_numeric", "loss_gradient_hinge", "loss_node_estimate_logloss", "hist_partials", "hist_grouping_sets", "split_numeric_nan", "split_cat_ordered", "split_class_entropy", "split_class_gini", "split_cat_random", "tree_fit_subtrees", "model_saved_and_loaded", "delimited_scan", "runner_fit", "label_rules", "forest_vote", "bag_poisson", "tree_fit_depth3", "gbt_deviance_history", "var_importance", "forest_fit", "topk_importance", "median_upper", "kth_element", "loss_node_estimate_laplacian"]
 
 
 def test_every_query_has_a_twin():
