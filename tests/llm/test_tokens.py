@@ -34,3 +34,27 @@ def test_every_simple_character():
     words = [f"a{chr(c)}B{chr(c)}" for c in [*range(33, 127), *range(0xA1, 0x180)]]
     ids, ends = e.encode(pa.array(words))
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.direct(w) for w in words]
+
+
+def test_long_pieces_and_apostrophes():
+    from grovemill.llm.tokens import LONG
+
+    e = WordEncoder()
+    words = [c * n for c in ("in", "é", "=", "7") for n in (LONG // 2, LONG - 1, LONG, LONG + 1, 5 * LONG)]
+    words += [f"{a}'{b}{c}" for a in ("", "x", "4", "'", "-") for b in ("s", "t", "re", "ve", "m", "ll", "d", "r", "l", "", "'s") for c in ("", "s", "e", "'", "'ll", "9", "é")]
+    words += ["it's'", "we'RE", "'", "a''s"]
+    for own in (words, words[::-1]):
+        ids, ends = e.encode(pa.array(own))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.direct(w) for w in own]
+
+
+def test_merges_of_random_words(monkeypatch):
+    from grovemill.llm import tokens
+
+    monkeypatch.setattr(tokens, "WORDS", 500)
+    e, rng = WordEncoder(), np.random.default_rng(3)
+    letters = np.array(list("etaoinshrdluETH'\u00e9\u00df.-1"))
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 30, 3000)]
+    ids, ends = e.encode(pa.array(words))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.direct(w) for w in words]
+    assert e.encode(pa.array([], pa.string()))[0].tolist() == [] and e.encode(pa.array(["", None, "  "]))[1].tolist() == [0, 0, 0]
