@@ -72,10 +72,10 @@ def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame], tuple[DataFrame
         discard(spark, *_scopes.pop())
 
 
-def materialize(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and lost executors lose nothing."""
+def materialize(df: DataFrame, path: str | None = None, codec: str = "zstd", options: dict[str, int] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and lost executors lose nothing. options: of the writer."""
     path = path or scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,17 +3,19 @@
 A shard is a run of token ids, each document followed by the end-of-document id, cut into blocks wherever the block size
 falls. The scan finds the ids' positions in each block with one vectorised comparison. What a block can't know, where its
 first document began and how many came before, is stitched by prefix scans over one row per block: sums of lengths and
-counts, and the running maximum of the last separator's position. No document, and no shard, is held in one task.
+counts, and the running maximum of the last separator's position. No document, and no shard, is held in one task: blocks
+are written in row groups, and read in batches, of about CHUNK bytes, however many a shard has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovemill.llm.common import materialize, slices
@@ -21,10 +23,31 @@ from grovemill.llm.tokens import default_vocabulary, shared_encoder
 
 #: Token ids of a block (two bytes each), and the id that ends a document.
 BLOCK, END = 1 << 18, 49_407
+#: Bytes of blocks in a row group, and in a batch that a scan gets at a time. By default they are 128 MB and 64 MB, in several
+#: copies in a task that writes or reads.
+CHUNK = 8 << 20
+#: What bounds a batch's bytes.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BLOCKS = "shard int, block int, tokens binary, ended array<bigint>"
 
 
+def groups() -> dict[str, int]:
+    """The Parquet writer's options for row groups of CHUNK. It looks at sizes only each 100 rows if not told otherwise."""
+    return {"parquet.block.size": CHUNK, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """A scope in which what is run gets batches of CHUNK."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, CHUNK)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
 def write_shards(documents: DataFrame, path: str | None = None, vocabulary: str | None = None, block: int = BLOCK, end: int = END) -> DataFrame:
     """A shard per input partition. tokens is the file; ended, which scans don't read, lists the ids of documents in order.
 
@@ -65,7 +88,7 @@ def write_shards(documents: DataFrame, path: str | None = None, vocabulary: str
         if filled:
             yield row(np.concatenate(held), [d for _, d in ended])
 
-    return materialize(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS), path)
+    return materialize(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS), path, options=groups())
 
 
 def separators(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
@@ -89,7 +112,8 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
     Tokens after a shard's last separator are a document that is not terminated, if there are any. An empty shard, and an
     empty table, give no rows.
     """
-    found = materialize(separators(blocks, end, dtype))
+    with small_batches(blocks.sparkSession):
+        found = materialize(separators(blocks, end, dtype))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("shard").orderBy("block")
     base = F.coalesce(F.sum("n").over(before), F.lit(0))

@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from grovemill.llm import separator_scan
 from grovemill.llm.separator_scan import count_tokens, scan, write_shards
 from tests.llm.helpers import documents, empty
 
@@ -53,3 +56,27 @@ def test_the_files_hold_the_tokens(spark):
 
 def test_empty(spark):
     assert count_tokens(empty(spark)).collect() == []
+
+
+def test_a_long_shard_is_written_and_read_in_parts(spark, monkeypatch):
+    most, block, seen = 16 << 10, 1 << 10, []
+    monkeypatch.setattr(separator_scan, "CHUNK", most, raising=False)
+    df = spark.range(0, 400, 1, 1).selectExpr("id doc_id", "repeat(concat('w', id, ' some words 1 2 3 '), 20) text")
+    blocks = write_shards(df, block=block)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in blocks.inputFiles()]
+    sizes = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(sizes) > 4 * most and max(sizes) < 2 * most
+
+    def probe(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, b.column(2).to_pylist()))], pa.int64())], ["n"])
+
+    def watched(found, *args):
+        seen.extend(r.n for r in blocks.select("shard", "block", "tokens").mapInArrow(probe, "n bigint").collect())
+        return materialize(found, *args)
+
+    materialize, before = separator_scan.materialize, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    monkeypatch.setattr(separator_scan, "materialize", watched)
+    assert scan(blocks).where("terminated").count() == 400
+    assert sum(seen) > 4 * most and max(seen) < 2 * most
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
