@@ -28,6 +28,25 @@ def test_against_duckdb(spark, name):
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == want
 
 
+def test_delimited_scan_sums_rows_by_hash(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    flags = "case when id % 7 = 0 then null else substr('ANR', cast(id % 3 as int) + 1, 1) end as l_returnflag"
+    texts = "case when id % 5 = 0 or id % 3 = 1 and id % 7 > 0 then null else concat('s', id % 40) end as l_linestatus"
+    spark.range(0, 2000, 1, 3).selectExpr(flags, texts, "id * 7.5D as l_extendedprice", "id % 50 + 0.25D as l_quantity").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    seen, frame = [], type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (seen.append(self), collect(self))[1])
+    got = catalog.queries()["delimited_scan"](spark, f"file://{tmp_path}")
+    monkeypatch.undo()
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(catalog.oracle_sql()["delimited_scan"]).fetchall(), key=str)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[-1]
+    # Read from below: up to the first exchange by key stand the rows, which are summed up by hash, of flags alone.
+    rows = plan[plan.rindex("Exchange hashpartitioning(l_returnflag") :]
+    assert "HashAggregate" in rows and "Sort" not in rows and "mode" not in rows.split("\n")[0]
+
+
 def test_the_entry_stands_without_the_corpus_package(monkeypatch):
     import importlib
 
